@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.shipping import ship
+
 #: Documents whose crc32(doc_id as text) mod FOLDS is HELD_OUT are never learnt from.
 FOLDS, HELD_OUT = 4, 2
 
@@ -42,4 +44,4 @@ def held_out(doc_id: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
