@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, pii, secret_scan, sharding
+from . import bpe, exact_dedup, language_id, packing, pii, quality, secret_scan, sharding
 from .common import documents
 
 #: Vocabulary files of public tokenizers, by name in the package that holds them.
@@ -31,6 +31,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -43,8 +47,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op6_sharding, op8_packing, op9_pii)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op6_sharding, op8_packing, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
