@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, packing, pii, quality, secret_scan, sharding
+from . import bpe, exact_dedup, language_id, ngram_join, packing, pii, quality, secret_scan, sharding
 from .common import documents
 
 #: Vocabulary files of public tokenizers, by name in the package that holds them.
@@ -35,6 +35,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op6_sharding, op8_packing, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op8_packing, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
