@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, ngram_join, packing, pii, quality, secret_scan, sharding
-from .common import documents
+from . import additive_quantisation, bpe, exact_dedup, language_id, ngram_join, packing, pii, quality, secret_scan, sharding
+from .common import documents, ship
 
 #: Vocabulary files of public tokenizers, by name in the package that holds them.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_quantisation.nearest(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path(WORD_BPE))
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op8_packing, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op7_nearest, op8_packing, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
