@@ -91,9 +91,10 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """``docs`` with every strong span and every linked weak secret masked; all rows and columns stay."""
+    """``docs`` with every strong span and every linked weak secret masked and n_chars, if there, recounted; all rows stay."""
     names = docs.columns
     out = with_spans(docs, base="_secret_base", linked="_secret_linked", reach=reach)
     hide = F.concat("_secret_base", F.filter("_secret_linked", lambda x: x["k"] == 4))
     text = masked(F.col("text"), hide, mark)
-    return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in names])
+    columns = [text.alias(c) if c == "text" else F.when(F.size(hide) > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
+    return out.select(*columns)
