@@ -45,6 +45,8 @@ from .shingles import WORDS, set_key, shingle_sets
 
 PERCENT, BUCKET_BITS, FRAGMENTS = 80, 20, 4
 BLOOM_BITS, SALT_ROWS = 1 << 24, 512
+#: All pairs that are left are compared once they are at most so many times the entries.
+ALL_PAIRS = 2.0
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -210,7 +212,7 @@ class Join:
             pairs, size = left.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
             if not size:
                 return labels
-            last = pairs <= 2 * size
+            last = pairs <= ALL_PAIRS * size
             if last:
                 x, y = (open_.select("gram", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
                 met = x.join(y, "gram").where("a < b AND la <> lb")

@@ -90,7 +90,7 @@ def _synthetic(kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
             m = "DE" + d(2) + " " + " ".join(d(4) for _ in range(4)) + " " + d(2) if y else "AB" + d(2) + " " + " ".join(d(4) for _ in range(2)) + d(1)
         else:
             m = "some.name [at] host [dot] org" if rng.random() < 0.5 else "name(at)example(dot)com"
-            y = 1 if rng.random() < 0.97 else 0
+            y = int(not re.search(NOISE, before))
         rows.append(_features(m, before, rng.choice([" and", ".", "", ","]) if y else rng.choice([" of", "%", "x", ".", " "])))
         marks.append(y)
     return np.array(rows), np.array(marks, float)

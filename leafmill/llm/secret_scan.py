@@ -95,6 +95,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataF
     names = docs.columns
     out = with_spans(docs, base="_secret_base", linked="_secret_linked", reach=reach)
     hide = F.concat("_secret_base", F.filter("_secret_linked", lambda x: x["k"] == 4))
-    text = masked(F.col("text"), hide, mark)
-    columns = [text.alias(c) if c == "text" else F.when(F.size(hide) > 0, F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
-    return out.select(*columns)
+    # under a name of its own first: beside an alias "text", "text" inside a lambda would mean that alias
+    out = out.withColumns({"_secret_text": masked(F.col("text"), hide, mark), "_secret_n": F.size(hide)})
+    count = F.when(F.col("_secret_n") > 0, F.length("_secret_text")).otherwise(F.col("n_chars") if "n_chars" in names else None)
+    replaced = {"text": F.col("_secret_text"), "n_chars": count}
+    return out.select(*[replaced[c].cast(docs.schema[c].dataType).alias(c) if c in replaced else F.col(f"`{c}`") for c in names])
