@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from . import css, slices, urls
 from .dom import Document, Node, path_of, serialized
@@ -74,6 +75,12 @@ def diagnostic(level: str, code: str, message: str, details: dict | None = None)
     return {"level": level, "code": code, "message": message, "details": details}
 
 
+@lru_cache(maxsize=4)
+def parsed(html: str) -> Document:
+    """The tree of a document; the last few are kept, as several plans may read one. Not to be changed."""
+    return parse(html)
+
+
 def byte_size(n: int) -> str:
     """``1 byte``, ``7 bytes``, or the largest of KiB, MiB and GiB with at most one rounded decimal."""
     for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
@@ -155,7 +162,7 @@ class Plan:
         elif size > request.max_bytes:
             out["diagnostics"] = [diagnostic("error", "SOURCE_LOAD_FAILED", f"Preloaded source exceeds {byte_size(request.max_bytes)} limit.", {"source": label, "kind": "memory", "maxBytes": request.max_bytes})]
         else:
-            document = parse(html)
+            document = parsed(html)
             base = urls.effective_base(document, shown)
             out["document_title"], out["source"]["effective_base_url"] = title(document), base
             if request.output.rewrite_urls and base is None:
