@@ -20,9 +20,10 @@ from ..functions import urls
 from ..functions.css import Matcher
 from ..functions.dom import HTML, Document, path_of
 from ..functions.extract import Plan, Request, parsed
+from ..functions.inspect import inspect as inspect_one
 from ..functions.interop import Sealed, stable_json
 from ..functions.shipping import ship
-from .schemas import DIAGNOSTIC, NODE, RESULT
+from .schemas import DIAGNOSTIC, INSPECTION, NODE, RESULT
 
 
 def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -193,3 +194,19 @@ def links(docs: DataFrame, html: str = "html", base_url: str | None = None, part
             yield {k: row[k] for k in names} | {"link_index": i, "href": e.attrs["href"], "resolved": urls.resolve(base, e.attrs["href"]), "label": " ".join(e.content().split())}
 
     return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
+
+
+def inspect(docs: DataFrame, html: str = "html", base_url: str | None = None, sample_limit: int = 8, partitions: int | None = None) -> DataFrame:
+    """The other columns of ``docs`` and a summary of each document."""
+    ship(docs.sparkSession)
+    keys = _keys(docs, html, base_url)
+    schema = T.StructType([*keys, *INSPECTION.fields])
+    names = [f.name for f in keys]
+
+    def run(row: dict) -> Iterator[dict]:
+        got = inspect_one(row[html] or "", row[base_url] if base_url else None, sample_limit)
+        for d in got["diagnostics"]:
+            d["details"] = stable_json(d["details"])
+        yield {k: row[k] for k in names} | got
+
+    return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)

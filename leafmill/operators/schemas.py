@@ -49,3 +49,15 @@ def operation_catalog(spark: SparkSession) -> DataFrame:
 
 def schema_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCHEMAS, "schema_name string, schema_version int, owner string").orderBy("schema_name", "schema_version")
+
+COUNT = T.StructType([T.StructField("name", T.StringType()), T.StructField("count", T.LongType())])
+CANDIDATE = T.StructType([*[T.StructField(n, T.StringType()) for n in ("selector", "path", "tag_name")], *[T.StructField(n, T.LongType()) for n in ("text_char_count", "heading_count", "link_count")]])
+HEADING = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("path", T.StringType())])
+LINK = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "resolved_href", "href", "path")])
+INSPECTION = T.StructType([
+    T.StructField("title", T.StringType()), T.StructField("root_tag", T.StringType()),
+    *[T.StructField(f"{n}_count", T.LongType()) for n in ("element", "text_char", "link", "image", "form", "table", "script", "style")],
+    T.StructField("document_base_href", T.StringType()), T.StructField("effective_base_url", T.StringType()), T.StructField("top_tags", T.ArrayType(COUNT)), T.StructField("top_classes", T.ArrayType(COUNT)),
+    T.StructField("extraction_candidates", T.ArrayType(CANDIDATE)), T.StructField("reading_candidates", T.ArrayType(CANDIDATE)), T.StructField("headings", T.ArrayType(HEADING)), T.StructField("links", T.ArrayType(LINK)),
+    T.StructField("diagnostics", T.ArrayType(DIAGNOSTIC)),
+])
