@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions.extract import Output, Request, Selection
 from ..operators import corpus, relational
 from ..operators import selection as sel
@@ -157,6 +158,30 @@ def sealed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run_plan(docs, plan, base_url="url").select("page_id", "is_result", "digest_sha256")
 
 
+def inspect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of all pages (no SQL equivalent; counts that SQL can give are in inspect_counts)."""
+    docs = pages(spark, sf_dir).select("page_id", "url", "html")
+    got = corpus.inspect(docs, base_url="url")
+    return got.select("page_id", "title", "element_count", "text_char_count", F.col("extraction_candidates")[0]["selector"].alias("extraction_selector"), F.col("reading_candidates")[0]["selector"].alias("reading_selector"), F.size("links").alias("n_links"))
+
+
+def inspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = corpus.inspect(html(spark, sf_dir), sample_limit=0)
+    return got.select("page_id", "title", "root_tag", "link_count", "image_count", "form_count", "table_count", "script_count", "style_count")
+
+
+def inspect_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings that inspection samples."""
+    return corpus.inspect(html(spark, sf_dir)).select("page_id", F.inline("headings")).select("page_id", "level", "text", "path")
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same questions asked in SQL."""
+    sql.register(spark)
+    html(spark, sf_dir).createOrReplaceTempView("leafmill_pages")
+    return spark.sql("SELECT page_id, html_attr(html, 'nav a', 'href') AS href, s.index AS item, s.value FROM leafmill_pages, LATERAL html_slice(html, '<li>', '</li>') s")
+
+
 def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes (no SQL equivalent): counted by kind."""
     return corpus.parse_nodes(html(spark, sf_dir), paths=False).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -196,6 +221,9 @@ ORACLES = {
     "multi_select": "SELECT page_id, 'heading' AS plan, replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '\"') AS value FROM pages UNION ALL SELECT page_id, 'charset', regexp_extract(html, '<meta charset=\"([^\"]*)\">', 1) FROM pages UNION ALL SELECT page_id, 'ad', regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) FROM pages",
     "slice_attribute": f"SELECT page_id, link_index AS match_index, href FROM ({_LINKS})",
     "slice_splits_markup": "SELECT page_id, 'SLICE_SPLITS_MARKUP' AS code, 'Selected slice boundaries appear to cut through HTML markup near ' || (s + 9) || '..' || (s + 9 + strlen(h)) || '. Choose stricter boundaries or include the matched tags when the markup should remain intact.' AS message FROM (SELECT page_id, strlen(split_part(html, '<a href=\"', 1)) AS s, regexp_extract(html, '<a href=\"(.*?)\">', 1) AS h FROM pages)",
+    "inspect_counts": f"SELECT page_id, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title, 'html' AS root_tag, len(regexp_extract_all(html, '<a '))::BIGINT AS link_count, 0::BIGINT AS image_count, 0::BIGINT AS form_count, 0::BIGINT AS table_count, 1::BIGINT AS script_count, 1::BIGINT AS style_count FROM pages",
+    "inspect_headings": f"SELECT page_id, 1 AS level, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '\\s+', ' ', 'g')) AS text, {_PATH}article:nth-of-type(1) > h1:nth-of-type(1)' AS path FROM pages",
+    "sql_functions": f"SELECT l.page_id, l.href, i AS item, h[i][5:-6] AS value FROM (SELECT page_id, href FROM ({_LINKS}) WHERE link_index = 1) l JOIN (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>.*?</li>') AS h FROM pages)) m USING (page_id)",
     "rendered_nav": f"SELECT page_id, 1::BIGINT AS match_index, string_agg('- ' || {_plain('label')} || ' [' || {_plain('href')} || ']', chr(10) ORDER BY link_index) AS text FROM ({_LINKS}) GROUP BY page_id",
 }
 
@@ -208,6 +236,6 @@ QUERIES = {
     for f in (
         select_nav_links, select_nth_link, select_attr_meta_charset, select_style_inner_html, select_script_inner_html, select_item_outer_html, select_first_heading, select_missing_attr_diag,
         invalid_selector_diag, doc_title, link_resolve, link_labels, tag_histogram, class_histogram, corpus_tags, relational_nav_links, relational_siblings, relational_not_has, multi_select,
-        slice_regex_exact, slice_attribute, slice_splits_markup, rendered_article, rendered_nav, sealed_results, node_table,
+        slice_regex_exact, slice_attribute, slice_splits_markup, rendered_article, rendered_nav, sealed_results, node_table, inspect_pages, inspect_counts, inspect_headings, sql_functions,
     )
 }

@@ -144,10 +144,10 @@ def corpus_top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(20)
 
 
-def docs_without_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anti join: pages without any <b>; left join: whether they also have a dangling paragraph."""
+def docs_without_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anti join: pages without any quotation mark reference; left join: whether they also have a dangling paragraph."""
     docs = html(spark, sf_dir)
-    breaks = docs.where(F.col("html").contains("<b>")).select("page_id")
+    breaks = docs.where(F.col("html").contains("&quot;")).select("page_id")
     dangling = ns.slice_diagnostics(docs, "<p>", "</p>").select("page_id")
     return docs.select("page_id").join(breaks, "page_id", "left_anti").join(dangling.withColumn("dangling", F.lit(True)), "page_id", "left").select("page_id", F.coalesce("dangling", F.lit(False)).alias("dangling"))
 
@@ -202,14 +202,14 @@ WITH r AS (SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_
 SELECT lang, host, count(*) AS n, sum(size)::BIGINT AS bytes, grouping(lang, host)::BIGINT AS level FROM r GROUP BY ROLLUP (lang, host)""",
     "nav_label_pairs": f"SELECT label, count(DISTINCT page_id) AS n_pages, min(page_id) AS first_page FROM ({_NAV}) GROUP BY label HAVING count(DISTINCT page_id) > 1",
     "corpus_top_labels": f"SELECT label, count(*) AS n FROM ({_NAV}) GROUP BY label ORDER BY n DESC, label LIMIT 20",
-    "docs_without_emphasis": """
-SELECT page_id, (contains(list_last(regexp_split_to_array(html, '(?s)<p>.*?</p>')), '<p>') OR NOT regexp_matches(html, '(?s)<p>.*?</p>')) AS dangling FROM pages WHERE NOT contains(html, '<b>')""",
+    "docs_without_quotes": """
+SELECT page_id, (contains(list_last(regexp_split_to_array(html, '(?s)<p>.*?</p>')), '<p>') OR NOT regexp_matches(html, '(?s)<p>.*?</p>')) AS dangling FROM pages WHERE NOT contains(html, '&quot;')""",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
         slice_literal_all, slice_byte_ranges, slice_include_both, slice_regex_ci, slice_first, slice_nth, slice_single, slice_no_match_diag, slice_dangling_diag, slice_documents, selection_diags,
-        candidate_counts, byte_limit_diag, looks_like_document, format_byte_size, sha256_identity, url_redact, lang_attr, pages_by_host_and_lang, nav_label_pairs, corpus_top_labels, docs_without_emphasis,
+        candidate_counts, byte_limit_diag, looks_like_document, format_byte_size, sha256_identity, url_redact, lang_attr, pages_by_host_and_lang, nav_label_pairs, corpus_top_labels, docs_without_quotes,
     )
 }
