@@ -7,12 +7,12 @@ with numpy. Chunks bound the memory that words and ids take, whatever a batch ho
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Characters of text that are held as words at a time, and words in the table.
-CHUNK_CHARS, TABLE_WORDS = 1_000_000, 200_000
+CHUNK_CHARS, TABLE_WORDS = 1_000_000, 500_000
 
 
 def gather(flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -33,9 +33,9 @@ class _Codes(dict):
 
 
 class Coder:
-    """``resolve`` gives the token ids of a list of new words as arrays of uint32."""
+    """``resolve`` gives the token ids of a list of new words one after another, and how many each word has."""
 
-    def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], Iterable[np.ndarray]]):
+    def __init__(self, cut: Callable[[str], list[str]], resolve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.cut, self.resolve = cut, resolve
         self.clear()
 
@@ -48,15 +48,15 @@ class Coder:
         words, self.codes.new = self.codes.new, []
         if not words:
             return
-        parts = list(self.resolve(words))
-        n, known = np.array([len(p) for p in parts], np.int64), len(self.codes) - len(words)
+        ids, n = self.resolve(words)
+        known = len(self.codes) - len(words)
         while len(self.first) < len(self.codes):
             self.first, self.length = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.length, np.zeros_like(self.length)])
         while len(self.flat) < self.used + n.sum():
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.length[known : len(self.codes)] = n
         self.first[known : len(self.codes)] = self.used + np.cumsum(n) - n
-        self.flat[self.used : self.used + n.sum()] = np.concatenate(parts)
+        self.flat[self.used : self.used + n.sum()] = ids
         self.used += int(n.sum())
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
