@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -32,7 +33,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`saved` table that nothing will read again."""
+    spark, path = df.sparkSession, df.saved_at
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,12 +19,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = saved(both.union(both.select("other", "node")).where("node <> other").distinct(), "edges")
     labels = saved(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    held = labels
     while True:
         near = both.join(labels, "node").groupBy("other").agg(F.min("label").alias("near")).withColumnRenamed("other", "node")
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         far = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = saved(step.join(far, "label").select("node", F.least("label", "far").alias("label"), "was"), "labels")
         changed = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
+        discard(held)
+        held, labels = new, new.select("node", "label")
         if not changed:
+            discard(both)
             return labels

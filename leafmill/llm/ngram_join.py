@@ -10,11 +10,12 @@ intersection is at least 80 times their union. The result is exact components:
 2. A set of n shingles can only link with sets that share one of its first
    ``n - ceil(0.8 n) + 1`` shingles in that order. These prefixes are grouped by shingle.
    Frequent passages sort last, so they are in no prefix unless a document is little else.
-3. In every group the least class of a round's order is the pivot: each other class of
-   the group whose size fits is compared with it, never all with all. Links are
-   contracted into components; a compared pivot leaves its group, and groups whose
-   classes are all in one component are done. Once the pairs that are left between
-   different components are no more than the prefix entries, all are compared at once.
+3. A group of more than ``SMALL`` classes first compares all with one pivot, the class whose
+   prefix has the most company: usually the text that the others are copies of. Links are
+   contracted into components, and groups whose classes are all in one component are done.
+   Such rounds go on while very many meetings would be left. Then classes of different
+   components that meet in a group, can link by their sizes and by how many of their prefix
+   shingles anyone shares, and do share enough prefix shingles, are candidates.
 4. Pairs are compared by vertical partitioning: the global order is cut into
    ``FRAGMENTS`` fragments of about equal occurrences; each fragment's partial overlaps
    are counted apart and summed per pair. Only documents that a Bloom filter of fixed
@@ -35,18 +36,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import COUNT_ROWS, count_rows, fresh, saved, summed
+from .common import COUNT_ROWS, count_rows, discard, fresh, release, saved, summed
 from .components import components
 from .shingles import WORDS, set_key, shingle_sets
 
 PERCENT, BUCKET_BITS, FRAGMENTS = 80, 20, 4
 BLOOM_BITS, SALT_ROWS = 1 << 24, 512
-#: All pairs that are left are compared once they are at most so many times the entries.
-ALL_PAIRS = 2.0
+#: Pivot rounds end when so many meetings of classes are left for each prefix entry, or after so many rounds.
+PAIRS_PER_ENTRY, ROUNDS = 8.0, 8
+#: Groups of at most so many classes need no pivot.
+SMALL = 8
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -101,12 +104,12 @@ def _prefixes(order, words: int, percent: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value.ranks()
         for batch in batches:
-            out, sizes, keys = [], [], []
+            out, sizes, keys, stops = [], [], [], []
 
             def rows() -> pa.RecordBatch:
                 count = [len(x) for x in out]  # noqa: B023
-                n, k = np.repeat(np.array(sizes, np.int64), count), np.repeat(np.array(keys, np.int64), count)  # noqa: B023
-                return pa.record_batch([_signed(np.concatenate(out)), pa.array(k), pa.array(n)], ["gram", "cls", "n"])  # noqa: B023
+                n, k, e = (np.repeat(np.array(c, np.int64), count) for c in (sizes, keys, stops))  # noqa: B023
+                return pa.record_batch([_signed(np.concatenate(out)), pa.array(k), pa.array(n), pa.array(e)], ["gram", "cls", "n", "end"])  # noqa: B023
 
             waiting = 0
             for grams in shingle_sets(batch.column(0).to_pylist(), words):
@@ -116,10 +119,12 @@ def _prefixes(order, words: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                     out.append(grams[at])
                     sizes.append(n)
                     keys.append(set_key(grams))
+                    last = grams[at[-1]]
+                    stops.append(int(rank[int(_bucket(last))]) << 42 | int(last) >> 22)  # the place in the order; ties count for both sides
                     waiting += prefix
                     if waiting > 1 << 18:
                         yield rows()
-                        out, sizes, keys, waiting = [], [], [], 0
+                        out, sizes, keys, stops, waiting = [], [], [], [], 0
             if out:
                 yield rows()
 
@@ -137,7 +142,7 @@ def _bloom(ids: DataFrame) -> bytes:
     places = F.array(F.crc32(s.cast("binary")) % BLOOM_BITS, F.crc32(F.concat(F.lit("x"), s).cast("binary")) % BLOOM_BITS)
     words = ids.select(F.explode(places).alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits"))
     bits = np.zeros(BLOOM_BITS // 32, np.uint32)
-    for w, v in words.toLocalIterator():
+    for w, v in words.coalesce(4).toLocalIterator():
         bits[w] = v
     return zlib.compress(bits.tobytes(), 1)
 
@@ -177,11 +182,12 @@ class Join:
         self.order = self.spark.sparkContext.broadcast(Order(counts))
 
     def entries(self) -> DataFrame:
-        """Prefix shingles that more than one class has: gram, cls, n."""
-        raw = self.texts.select("text").mapInArrow(_prefixes(self.order, self.words, self.percent), "gram long, cls long, n long")
-        group = Window.partitionBy("gram")
-        own = raw.groupBy("gram", "cls").agg(F.max("n").alias("n"))
-        return saved(own.withColumns({"_lo": F.min("cls").over(group), "_hi": F.max("cls").over(group)}).where("_lo <> _hi").drop("_lo", "_hi"), "prefixes")
+        """Prefix shingles that more than one class has: gram, cls, n and of the class where its prefix ends, how many such shingles it has (held) and how many others they have in all (company)."""
+        raw = self.texts.select("text").mapInArrow(_prefixes(self.order, self.words, self.percent), "gram long, cls long, n long, end long")
+        group, own = Window.partitionBy("gram"), Window.partitionBy("cls")
+        each = raw.groupBy("gram", "cls").agg(F.max("n").alias("n"), F.max("end").alias("end"))
+        many = each.withColumn("k", F.count(F.lit(1)).over(group)).where("k > 1")
+        return saved(many.withColumns({"held": F.count(F.lit(1)).over(own), "company": F.sum("k").over(own)}).drop("k"), "prefixes")
 
     def fits(self, m: str = "na", n: str = "nb"):
         return (F.least(m, n) * 100) >= (F.greatest(m, n) * self.percent)
@@ -197,43 +203,64 @@ class Join:
         other = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).join(parts.select(F.col("cls").alias("b"), "frag", F.col("grams").alias("gb")), "b")
         met = other.join(mine, ["a", "frag", "salt"])
         both = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
-        return both.where((F.col("same") * 100) >= (F.col("na") + F.col("nb") - F.col("same")) * self.percent).select("a", "b")
+        found = saved(both.where((F.col("same") * 100) >= (F.col("na") + F.col("nb") - F.col("same")) * self.percent).select("a", "b"), "links")
+        discard(parts)
+        release(self.spark)
+        return found
+
+    def need(self, n: str, other: str) -> Column:
+        """How many shingles of its prefix a set of ``n`` must share with one of ``other`` to link, if its prefix ends first."""
+        n, other, p = F.col(n), F.col(other), self.percent
+        return n - F.ceil(n * p / 100) + 1 - (n - F.ceil((n + other) * p / (100 + p)))
+
+    def led(self, entries: DataFrame) -> DataFrame:
+        """The entries of larger groups with the pivot (p) of their group."""
+        return entries.where(F.col("k") > SMALL).withColumn("p", F.max(F.struct("company", "cls", "n", "label")).over(Window.partitionBy("gram")))
+
+    def stars(self, led: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) of pivots with the other classes of their groups."""
+        met = led.where("cls <> p.cls AND label <> p.label").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
+        return met.where(self.fits()).distinct()
+
+    def shared(self, entries: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) of classes of different components that share enough prefix shingles to link.
+
+        If o shingles must be shared in all, of the prefix that ends first at most n - o may be
+        missing in the other set; the number that any other prefix has bounds this before the pair meets.
+        """
+        x, y = (entries.select("gram", *[F.col(c).alias(c[0] + s) for c in ("cls", "n", "label", "held", "end")]) for s in "ab")
+        first = lambda m, o: (F.col(f"e{m}") <= F.col(f"e{o}")) & (F.col(f"h{m}") >= self.need(f"n{m}", f"n{o}"))
+        met = x.join(y, "gram").where("ca < cb AND la <> lb").where(self.fits()).where(first("a", "b") | first("b", "a"))
+        counted = met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        return counted.where(F.col("c") >= F.least(self.need("na", "nb"), self.need("nb", "na"))).select("a", "b", "na", "nb")
 
     def labels(self) -> DataFrame | None:
         """cls (node) and label of all linked classes; None without links."""
-        entries, found, labels, number = self.entries(), None, None, 0
-        while True:
-            number += 1
+        entries, found, labels = self.entries(), None, None
+        size = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
+        budget = PAIRS_PER_ENTRY * (self.rows.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, size)), F.lit(0))).first()[0] or 0)
+        for number in range(ROUNDS + 1):
             now = entries.withColumn("label", F.col("cls")) if labels is None else entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
             group = Window.partitionBy("gram")
-            open_ = now.withColumns({"_lo": F.min("label").over(group), "_hi": F.max("label").over(group)}).where("_lo <> _hi").drop("_lo", "_hi")
+            open_ = now.withColumns({"_lo": F.min("label").over(group), "_hi": F.max("label").over(group), "k": F.count(F.lit(1)).over(group)}).where("_lo <> _hi").drop("_lo", "_hi")
             open_ = saved(open_, "open")
-            left = open_.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k"))
-            pairs, size = left.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-            if not size:
+            apart = open_.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("k"))
+            pairs, largest = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+            if not pairs:
                 return labels
-            last = pairs <= ALL_PAIRS * size
-            if last:
-                x, y = (open_.select("gram", F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
-                met = x.join(y, "gram").where("a < b AND la <> lb")
-            else:
-                turn = F.struct(F.xxhash64("cls", F.lit(number)).alias("h"), "cls", "n", "label")
-                pivoted = open_.withColumn("p", F.min(turn).over(group))
-                met = pivoted.where("cls <> p.cls AND label <> p.label").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-                entries = pivoted.where("cls <> p.cls").select("gram", "cls", "n")
-            pairs_now = saved(met.where(self.fits()).select("a", "b", "na", "nb").distinct(), "pairs")
-            if not pairs_now.limit(1).count():
-                if last:
-                    return labels
-                entries = saved(entries, "entries")
-                continue
-            got = saved(self.links(pairs_now), "links")
-            found = got if found is None else found.union(got)
-            if found.limit(1).count():
-                labels = components(found)
+            last = number == ROUNDS or largest <= SMALL or number > 0 and pairs <= budget
+            now_pairs = saved(self.shared(open_) if last else self.stars(self.led(open_)), "pairs")
+            if now_pairs.limit(1).count():
+                got = self.links(now_pairs)
+                found = got if found is None else found.union(got)
+                labels = components(found) if found.limit(1).count() else labels
             if last:
                 return labels
-            entries = saved(entries, "entries")
+            met = self.led(open_).where("cls = p.cls").select("gram", "cls")  # these pivots have met all of these groups
+            entries = saved(open_.drop("k", "label").join(met, ["gram", "cls"], "left_anti"), "entries")
+            discard(open_)
+            release(self.spark)
+        return labels
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -70,11 +70,13 @@ def test_groups_chains_and_shared_passages(spark):
     assert sorted(str(tuple(r)) for r in ngram_join.join(docs).collect()) == brute(rows)
 
 
-def test_star_rounds_alone_are_exact(spark, monkeypatch):
-    """Pivots round after round, the final comparison of all left pairs put off as long as there are two left in a group."""
+def test_pivot_rounds_are_exact(spark, monkeypatch):
+    """With hardly any meetings allowed at the end, pivots go round after round."""
     rows = [(i, near(prose(7, 60), i, i % 5)) for i in range(40)] + [(100 + i, near(prose(8, 60), i, 3)) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "ALL_PAIRS", 0.05)
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", 0.0)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 3)
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
     assert sorted(str(tuple(r)) for r in ngram_join.join(docs).collect()) == brute(rows)
 
 
