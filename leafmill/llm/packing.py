@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import SPACES, classes
 from .common import saved
 from .words import Coder
 
@@ -37,7 +39,22 @@ CAPACITY, END, ISLAND, ROUNDS = 2048, 0, 8192, 3
 #: Bins with at most this share of waste are elites.
 WASTE = 0.004
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_words = re.compile("[^ \\t-\\r]+").findall  # words of the tokenizer never cross ASCII white space
+_chunks = re.compile("[^ \\t-\\r]+").findall  # words of the tokenizer never cross ASCII white space
+_odd = re.compile("[\u0300-\U0010ffff]|<\\|").search
+
+
+@cache
+def _word_pattern() -> Callable[[str], list[str]]:
+    l, n = classes(0x2FF)  # noqa: E741
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{l}]+|[{n}]|[^{SPACES}{l}{n}]+").findall
+
+
+def _words(text: str) -> list[str]:
+    """The tokenizer's own words in lower case; chunks between white space where a character may need its normaliser.
+
+    Below U+0300 every text is in composed form and lower case does not depend on neighbours.
+    """
+    return _chunks(text) if _odd(text) else _word_pattern()(text.lower())
 
 
 @cache
@@ -50,10 +67,22 @@ def _tokenizer(path: str):
     return t
 
 
+@cache
+def _coder(path: str) -> Coder:
+    """The worker's table of words and their ids: bounded, and shared by its tasks."""
+    t = _tokenizer(path)
+
+    def resolve(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.array(list(map(len, found)), np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    return Coder(_words, resolve)
+
+
 def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
-        coder = Coder(_words, lambda words: (np.array(e.ids, np.uint32) for e in t.encode_batch_fast(words, add_special_tokens=False)))
+        coder = _coder(path)
         for batch in batches:
             texts, owners, rows = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist(), ([], [], [], [], [])
             owner = iter(owners)
