@@ -162,7 +162,7 @@ def inspect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of all pages (no SQL equivalent; counts that SQL can give are in inspect_counts)."""
     docs = pages(spark, sf_dir).select("page_id", "url", "html")
     got = corpus.inspect(docs, base_url="url")
-    return got.select("page_id", "title", "element_count", "text_char_count", F.col("extraction_candidates")[0]["selector"].alias("extraction_selector"), F.col("reading_candidates")[0]["selector"].alias("reading_selector"), F.size("links").alias("n_links"))
+    return got.select("page_id", "title", "element_count", "text_char_count", F.get("extraction_candidates", F.lit(0))["selector"].alias("extraction_selector"), F.get("reading_candidates", F.lit(0))["selector"].alias("reading_selector"), F.size("links").alias("n_links"))
 
 
 def inspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
