@@ -49,7 +49,7 @@ BLOOM_BITS, SALT_ROWS = 1 << 24, 512
 #: Pivot rounds end when so many meetings of classes are left for each prefix entry, or after so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 8.0, 8
 #: Groups of at most so many classes need no pivot.
-SMALL = 8
+SMALL = 2
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -102,29 +102,30 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 def _prefixes(order, words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value.ranks()
+        rank, seen = order.value.ranks(), set()  # classes whose prefix this task has given
         for batch in batches:
-            out, sizes, keys, stops = [], [], [], []
+            out, keys, marks = [], [], []
 
             def rows() -> pa.RecordBatch:
                 count = [len(x) for x in out]  # noqa: B023
-                n, k, e = (np.repeat(np.array(c, np.int64), count) for c in (sizes, keys, stops))  # noqa: B023
-                return pa.record_batch([_signed(np.concatenate(out)), pa.array(k), pa.array(n), pa.array(e)], ["gram", "cls", "n", "end"])  # noqa: B023
+                k, m = (np.repeat(np.array(c, np.int64), count) for c in (keys, marks))  # noqa: B023
+                return pa.record_batch([_signed(np.concatenate(out)), pa.array(k), pa.array(m)], ["gram", "cls", "mark"])  # noqa: B023
 
             waiting = 0
             for grams in shingle_sets(batch.column(0).to_pylist(), words):
-                if n := len(grams):
+                if (n := len(grams)) and (key := set_key(grams)) not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(key)
                     prefix = n + (-percent * n // 100) + 1
                     at = np.argsort(rank[_bucket(grams)], kind="stable")[:prefix]  # grams ascend, so ties keep the order of hashes
                     out.append(grams[at])
-                    sizes.append(n)
-                    keys.append(set_key(grams))
-                    last = grams[at[-1]]
-                    stops.append(int(rank[int(_bucket(last))]) << 42 | int(last) >> 22)  # the place in the order; ties count for both sides
+                    keys.append(key)
+                    marks.append(n << BUCKET_BITS | int(rank[int(_bucket(grams[at[-1]]))]))  # size, and the bucket where the prefix ends; ties count for both sides
                     waiting += prefix
                     if waiting > 1 << 18:
                         yield rows()
-                        out, sizes, keys, stops, waiting = [], [], [], [], 0
+                        out, keys, marks, waiting = [], [], [], 0
             if out:
                 yield rows()
 
@@ -183,10 +184,11 @@ class Join:
 
     def entries(self) -> DataFrame:
         """Prefix shingles that more than one class has: gram, cls, n and of the class where its prefix ends, how many such shingles it has (held) and how many others they have in all (company)."""
-        raw = self.texts.select("text").mapInArrow(_prefixes(self.order, self.words, self.percent), "gram long, cls long, n long, end long")
+        raw = self.texts.select("text").mapInArrow(_prefixes(self.order, self.words, self.percent), "gram long, cls long, mark long")
         group, own = Window.partitionBy("gram"), Window.partitionBy("cls")
-        each = raw.groupBy("gram", "cls").agg(F.max("n").alias("n"), F.max("end").alias("end"))
+        each = raw.repartition(F.col("gram")).groupBy("gram", "cls").agg(F.max("mark").alias("mark"))  # one exchange for this and the window
         many = each.withColumn("k", F.count(F.lit(1)).over(group)).where("k > 1")
+        many = many.withColumns({"n": F.shiftright("mark", BUCKET_BITS), "end": F.col("mark").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))}).drop("mark")
         return saved(many.withColumns({"held": F.count(F.lit(1)).over(own), "company": F.sum("k").over(own)}).drop("k"), "prefixes")
 
     def fits(self, m: str = "na", n: str = "nb"):
@@ -215,12 +217,17 @@ class Join:
 
     def led(self, entries: DataFrame) -> DataFrame:
         """The entries of larger groups with the pivot (p) of their group."""
-        return entries.where(F.col("k") > SMALL).withColumn("p", F.max(F.struct("company", "cls", "n", "label")).over(Window.partitionBy("gram")))
+        return entries.where(F.col("k") > SMALL).withColumn("p", F.max(F.struct("company", "cls", "n", "label", "held", "end")).over(Window.partitionBy("gram")))
 
     def stars(self, led: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) of pivots with the other classes of their groups."""
-        met = led.where("cls <> p.cls AND label <> p.label").select(F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        return met.where(self.fits()).distinct()
+        sides = [F.col(f"p.{c}").alias(c[0] + "a") for c in ("cls", "n", "held", "end")] + [F.col(c).alias(c[0] + "b") for c in ("cls", "n", "held", "end")]
+        met = led.where("cls <> p.cls AND label <> p.label").select(*sides).where(self.fits()).where(self.first("a", "b") | self.first("b", "a"))
+        return met.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct()
+
+    def first(self, m: str, o: str) -> Column:
+        """That the prefix of side ``m`` ends first and has enough shingles that anyone shares."""
+        return (F.col(f"e{m}") <= F.col(f"e{o}")) & (F.col(f"h{m}") >= self.need(f"n{m}", f"n{o}"))
 
     def shared(self, entries: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) of classes of different components that share enough prefix shingles to link.
@@ -229,8 +236,7 @@ class Join:
         missing in the other set; the number that any other prefix has bounds this before the pair meets.
         """
         x, y = (entries.select("gram", *[F.col(c).alias(c[0] + s) for c in ("cls", "n", "label", "held", "end")]) for s in "ab")
-        first = lambda m, o: (F.col(f"e{m}") <= F.col(f"e{o}")) & (F.col(f"h{m}") >= self.need(f"n{m}", f"n{o}"))
-        met = x.join(y, "gram").where("ca < cb AND la <> lb").where(self.fits()).where(first("a", "b") | first("b", "a"))
+        met = x.join(y, "gram").where("ca < cb AND la <> lb").where(self.fits()).where(self.first("a", "b") | self.first("b", "a"))
         counted = met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return counted.where(F.col("c") >= F.least(self.need("na", "nb"), self.need("nb", "na"))).select("a", "b", "na", "nb")
 
