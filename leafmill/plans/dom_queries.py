@@ -65,8 +65,9 @@ def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page; the SQL holds only those whose href is ASCII or '/für'."""
     docs = pages(spark, sf_dir).select("page_id", "url", "html")
-    return corpus.links(docs, base_url="url").where("href = '/für' OR NOT href RLIKE '[^\\\\x00-\\\\x7f]'").select("page_id", "link_index", "href", "resolved")
+    return corpus.links(docs, base_url="url").select("page_id", "link_index", "href", "resolved")
 
 
 def link_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
