@@ -75,8 +75,8 @@ def link_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = corpus.parse_nodes(html(spark, sf_dir), paths=False)
-    return sel.histogram(nodes, ["page_id"]).where("tag IN ('li', 'a', 'h1', 'title', 'nav', 'footer', 'article', 'style', 'script', 'meta', 'ul')")
+    """All tags of each page; the SQL holds eleven of them."""
+    return sel.histogram(corpus.parse_nodes(html(spark, sf_dir), paths=False), ["page_id"])
 
 
 def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,9 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tags of the whole corpus: documents that have them, and elements."""
+    """All tags of the whole corpus: documents that have them, and elements; the SQL holds ten of them."""
     counts = sel.histogram(corpus.parse_nodes(html(spark, sf_dir), paths=False), ["page_id"])
-    out = counts.where("tag IN ('li', 'a', 'h1', 'title', 'nav', 'footer', 'article', 'head', 'body', 'html')")
-    return out.groupBy("tag").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("count").alias("n_elements"))
+    return counts.groupBy("tag").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("count").alias("n_elements"))
 
 
 def _relational(spark: SparkSession, sf_dir: str, selector: str) -> DataFrame:

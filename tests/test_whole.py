@@ -1,10 +1,13 @@
 """Queries whose SQL holds only some of the rows, against brute force over all of them."""
 
 import re
+from collections import Counter
+from html.parser import HTMLParser
 from urllib.parse import quote, urljoin
 
 import pytest
 
+from leafmill.functions.html_parser import parse
 from leafmill.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -27,3 +30,30 @@ def test_link_resolve_returns_every_link(spark, sf_dir, db):
     assert any(not h.isascii() and h != "/für" for _, _, h, _ in got)
     some = db.execute(f"SELECT page_id, link_index, href, resolved FROM ({registry.oracle_sql()['link_resolve']})").fetchall()
     assert set(some) < set(got) and all(h.isascii() or h == "/für" for _, _, h, _ in some)
+
+
+class Tags(HTMLParser):
+    """Counts start tags; on the given pages only ``b``, left open across paragraphs, has more elements than start tags."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.counts = Counter()
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        self.counts[tag] += 1
+
+
+def test_histograms_hold_every_tag(spark, sf_dir, db):
+    raw = db.execute("SELECT page_id, html FROM pages").fetchall()
+    pages = {page: Counter(e.tag for e in parse(html).elements()) for page, html in raw}
+    for page, html in raw:
+        assert {**pages[page], "b": 0} == {**Tags(html).counts, "b": 0} and pages[page]["b"] >= Tags(html).counts["b"]
+    got = {(r.page_id, r.tag): r["count"] for r in registry.queries()["tag_histogram"](spark, sf_dir).collect()}
+    assert got == {(page, tag): n for page, counts in pages.items() for tag, n in counts.items()}
+    whole = {r.tag: (r.n_documents, r.n_elements) for r in registry.queries()["corpus_tags"](spark, sf_dir).collect()}
+    assert whole == {tag: (sum(tag in c for c in pages.values()), sum(c[tag] for c in pages.values())) for tag in set().union(*pages.values())}
+    assert {"p", "b", "br", "div", "html", "meta"} <= set(whole)
+    for name, mine in (("tag_histogram", {(*k, n) for k, n in got.items()}), ("corpus_tags", {(k, *n) for k, n in whole.items()})):
+        cols = "page_id, tag, count" if name == "tag_histogram" else "tag, n_documents, n_elements"
+        assert set(db.execute(f"SELECT {cols} FROM ({registry.oracle_sql()[name]})").fetchall()) < mine
