@@ -59,10 +59,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _measured(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        names = ["doc_id", "n", "cls", "part", "grp", "counts"]
+        names = ["doc_id", "text_key", "n", "cls", "part", "grp", "counts"]
         for batch in batches:
             sizes, keys, held, waiting = [], [], [], 0
-            for grams in shingle_sets(batch.column(1).to_pylist(), words):
+            for grams in shingle_sets(batch.column(2).to_pylist(), words):
                 sizes.append(len(grams))
                 keys.append(set_key(grams))
                 held.append(grams)
@@ -73,10 +73,10 @@ def _measured(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if held:
                 total += np.bincount((np.concatenate(held) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
             n, none = len(sizes), lambda kind: pa.nulls(len(sizes), kind)  # noqa: B023
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary())], names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary())], names)
         rows = count_rows(total)
         n = rows.num_rows
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *rows.columns], names)
+        yield pa.record_batch([*[pa.nulls(n, pa.int64())] * 4, *rows.columns], names)
 
     return run
 
@@ -132,14 +132,23 @@ def _prefixes(order, words: int, percent: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def _bloom_places(doc_id: int) -> tuple[int, int]:
-    s = str(doc_id).encode()
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _name(doc_id: str, text_key: str) -> Column:
+    """What the Bloom filter knows a row by: its doc_id, or its text where it has none."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.col(text_key).cast("string")))
+
+
+def _bloom_places(name: str) -> tuple[int, int]:
+    s = name.encode()
     return zlib.crc32(s) % BLOOM_BITS, zlib.crc32(b"x" + s) % BLOOM_BITS
 
 
 def _bloom(ids: DataFrame) -> bytes:
-    """A Bloom filter of the column ``rep`` as bytes; what comes to the driver has a fixed bound."""
-    s = F.col("rep").cast("string")
+    """A Bloom filter of the column ``name`` as bytes; what comes to the driver has a fixed bound."""
+    s = F.col("name")
     places = F.array(F.crc32(s.cast("binary")) % BLOOM_BITS, F.crc32(F.concat(F.lit("x"), s).cast("binary")) % BLOOM_BITS)
     words = ids.select(F.explode(places).alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits"))
     bits = np.zeros(BLOOM_BITS // 32, np.uint32)
@@ -153,7 +162,7 @@ def _segments(order, bloom, words: int) -> Callable[[Iterator[pa.RecordBatch]],
         rank, cuts = order.value.ranks(), order.value.cuts
         bits = np.unpackbits(np.frombuffer(zlib.decompress(bloom.value), np.uint8), bitorder="little")
         for batch in batches:
-            want = [i is not None and all(bits[p] for p in _bloom_places(i)) for i in batch.column(0).to_pylist()]
+            want = [all(bits[p] for p in _bloom_places(i)) for i in batch.column(0).to_pylist()]
             keys, frags, parts = [], [], []
             for grams in shingle_sets(batch.column(1).filter(pa.array(want, pa.bool_())).to_pylist(), words):
                 if len(grams):
@@ -170,15 +179,21 @@ def _segments(order, bloom, words: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
+def _least(rows: DataFrame, by: str, doc_id: str, text_key: str) -> DataFrame:
+    """For each ``by`` the row (rep, rep_key) of the smallest doc_id, and of those of the smallest text key; rows without a doc_id come last."""
+    least = F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("rep"), F.col(text_key).alias("rep_key"))).alias("least")
+    return rows.groupBy(by).agg(least).select(by, "least.rep", "least.rep_key")
+
+
 class Join:
     """State of one join: texts, classes, the global order and what has been compared."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
-        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        first = saved(self.texts.mapInArrow(_measured(words), f"doc_id long, n long, cls long, {COUNT_ROWS}"), "measured")
-        self.rows = first.where("n IS NOT NULL").select("doc_id", "n", "cls")
-        self.classes = saved(self.rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
+        first = saved(self.texts.mapInArrow(_measured(words), f"doc_id long, text_key long, n long, cls long, {COUNT_ROWS}"), "measured")
+        self.rows = first.where("n IS NOT NULL").select("doc_id", "text_key", "n", "cls")
+        self.classes = saved(_least(self.rows.where("n > 0"), "cls", "doc_id", "text_key"), "classes")
         counts = summed(first.where("part IS NOT NULL").select("part", "grp", "counts"), 1 << BUCKET_BITS)
         self.order = self.spark.sparkContext.broadcast(Order(counts))
 
@@ -197,8 +212,8 @@ class Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed per pair."""
         sides = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        bloom = self.spark.sparkContext.broadcast(_bloom(sides.join(self.classes, "cls").select("rep").where("rep IS NOT NULL")))
-        raw = self.texts.mapInArrow(_segments(self.order, bloom, self.words), "cls long, frag int, grams array<long>")
+        bloom = self.spark.sparkContext.broadcast(_bloom(sides.join(self.classes, "cls").select(_name("rep", "rep_key").alias("name"))))
+        raw = self.texts.select(_name("doc_id", "text_key").alias("name"), "text").mapInArrow(_segments(self.order, bloom, self.words), "cls long, frag int, grams array<long>")
         parts = saved(raw.dropDuplicates(["cls", "frag"]), "segments")
         salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).alias("salts"))
         mine = parts.join(salts, parts["cls"] == salts["a"]).select("a", "frag", F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
@@ -269,19 +284,21 @@ class Join:
         return labels
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n of every row, and rep, rep_key: the row that names its component (null for empty sets)."""
     run = Join(docs, words, percent)
     labels = run.labels()
     classes = run.classes
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        least = named.groupBy("label").agg(F.min("rep").alias("least"))
-        classes = named.join(least, "label").select("cls", "least")
-    else:
-        classes = classes.select("cls", F.col("rep").alias("least"))
-    out = run.rows.join(classes, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        classes = named.select("cls", "label").join(_least(named, "label", "rep", "rep_key"), "label").select("cls", "rep", "rep_key")
+    return run.rows.join(classes.withColumnRenamed("cls", "_cls"), (F.col("n") > 0) & (F.col("cls") == F.col("_cls")), "left")
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    component = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))
+    return _rows(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -98,3 +98,15 @@ def test_components(spark, edges):
             seen |= new
         want[n] = min(seen)
     assert got == want
+
+
+def test_rows_without_doc_id_link_and_bridge(spark):
+    """Near copies without a doc_id, alone or between two documents that only they connect."""
+    a, b = prose(21, 200).split(), prose(22, 200).split()
+    rows = [(1, " ".join(b)), (None, " ".join([*b[:-1], "z"])), (None, " ".join(["q", *b[1:]]))]
+    rows += [(11, " ".join([*(f"l{i}" for i in range(13)), *a[13:]])), (None, " ".join(a)), (10, " ".join([*a[:-13], *(f"r{i}" for i in range(13))]))]
+    rows += [(None, prose(23, 100)), (None, near(prose(23, 100), 1, 1)), (None, near(prose(23, 100), 2, 1)), (30, prose(24, 90))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert sum("10)" in r for r in want) == 3  # 10 and 11 are in one component through a text without a doc_id
+    assert sorted(str(tuple(r)) for r in ngram_join.join(docs).collect()) == want
