@@ -302,10 +302,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it; columns as they are.
+    """``docs`` with exactly one row of each component; columns as they are.
 
-    Rows without a doc_id stay unless another row of their component has one.
+    The row with the smallest doc_id stays, of those the one with the smallest hash of its
+    text, and any one of rows that repeat both. Rows without a doc_id come last. Rows are
+    told apart by doc_id and text, so other texts under a doc_id that goes are left alone.
+    Empty sets link with nothing: all their rows stay.
     """
-    gone = join(docs, words, percent).where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    mine = fresh(docs, "_id")
-    return docs.withColumn(mine, F.col("doc_id").cast("long")).join(gone, F.col(mine).eqNullSafe(F.col("_gone")), "left_anti").drop(mine)
+    stays = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
+    each = _rows(docs, words, percent).where("n > 0").groupBy(F.col("doc_id").alias("_named"), F.col("text_key").alias("_keyed")).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    marked = saved(each.where("NOT _stays OR _n > 1").drop("_n"), "marked")
+    mine, key = fresh(docs, "_id"), fresh(docs, "_key")
+    told = docs.withColumns({mine: F.col("doc_id").cast("long"), key: _text_key(F.col("text"))})
+    same = F.col(mine).eqNullSafe(F.col("_named")) & (F.col(key) == F.col("_keyed"))
+    repeated = told.join(marked.where("_stays").drop("_stays"), same, "left_semi").dropDuplicates([mine, key])
+    return told.join(marked.drop("_stays"), same, "left_anti").unionByName(repeated).drop(mine, key)

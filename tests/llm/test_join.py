@@ -110,3 +110,15 @@ def test_rows_without_doc_id_link_and_bridge(spark):
     want = brute(rows)
     assert sum("10)" in r for r in want) == 3  # 10 and 11 are in one component through a text without a doc_id
     assert sorted(str(tuple(r)) for r in ngram_join.join(docs).collect()) == want
+
+
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    a, b, c, d = (prose(31 + s, 120) for s in range(4))
+    rows = [(3, a, "x"), (12, near(a, 1, 1), "x"), (12, b, "x"), (20, c, "x"), (20, near(c, 2, 1), "x"), (21, near(c, 3, 1), "x")]
+    rows += [(30, d, "x"), (30, d, "y"), (40, None, "x"), (40, None, "y"), (None, prose(41, 90), "x"), (None, near(prose(41, 90), 4, 1), "x"), (None, near(a, 5, 1), "x"), (None, prose(42, 90), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [tuple(r) for r in ngram_join.keep_one(docs).collect()]
+    assert set(kept) <= set(rows) and len(set(kept)) == len(kept) == 8
+    assert {(3, a, "x"), (12, b, "x"), (40, None, "x"), (40, None, "y"), (None, prose(42, 90), "x")} <= set(kept)
+    ids = [k[0] for k in kept]
+    assert ids.count(20) == 1 and ids.count(30) == 1 and ids.count(None) == 2 and 21 not in ids
