@@ -8,18 +8,23 @@ intersection is at least 80 times their union. The result is exact components:
    Buckets by (count, number) and shingles within them by hash give one global order from
    rare to frequent; the table of bucket ranks has a fixed size and is broadcast.
 2. A set of n shingles can only link with sets that share one of its first
-   ``n - ceil(0.8 n) + 1`` shingles in that order. These prefixes are grouped by shingle.
-   Frequent passages sort last, so they are in no prefix unless a document is little else.
-3. A group of more than ``SMALL`` classes first compares all with one pivot, the class whose
-   prefix has the most company: usually the text that the others are copies of. Links are
-   contracted into components, and groups whose classes are all in one component are done.
-   Such rounds go on while very many meetings would be left. Then classes of different
-   components that meet in a group, can link by their sizes and by how many of their prefix
-   shingles anyone shares, and do share enough prefix shingles, are candidates.
-4. Pairs are compared by vertical partitioning: the global order is cut into
-   ``FRAGMENTS`` fragments of about equal occurrences; each fragment's partial overlaps
-   are counted apart and summed per pair. Only documents that a Bloom filter of fixed
-   size lets through are hashed again; pivots with many partners are salted.
+   ``n - ceil(0.8 n) + 1`` shingles in that order. These prefixes are grouped by shingle;
+   shingles of far too full buckets are salted by class. Groups of one end here.
+3. In groups of at most ``SMALL`` classes, those whose sizes fit meet; a pair is a candidate if
+   the shingles it met by, and at most all that either has in larger groups, suffice.
+4. A larger group has a pivot, the class whose prefix has the most company: usually the text that
+   the others are copies of. Only classes whose sizes and prefixes allow a link with some size
+   in the group go on; bands of sizes are compared, not classes.
+5. The classes that are left are hashed once more and kept as segments: the global order is cut
+   into ``FRAGMENTS`` fragments of about equal occurrences. Candidates, and pivots with their
+   groups, are compared by vertical partitioning: partial overlaps are counted per fragment
+   and summed per pair. What links is contracted into components.
+6. Two classes x, y of a larger group that are still apart share at most
+   ``min(ix, iy) + min(sx - ix, sy - iy)`` shingles, with i a class's overlap with the pivot and
+   s its shingles that any other class at hand has. So each class has a band of sizes
+   it can link with; classes outside the pivot's component meet those of their band, and
+   pairs that the bound allows are compared like the others. While too many would
+   meet, further pivots come first (at most ``ROUNDS`` times).
 
 No pair, candidate or partner is dropped or capped: a pair inside one component may stay
 uncompared because it cannot change a component. Hashes have 64 bits.
@@ -36,6 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,11 +51,18 @@ from .components import components
 from .shingles import WORDS, set_key, shingle_sets
 
 PERCENT, BUCKET_BITS, FRAGMENTS = 80, 20, 4
-BLOOM_BITS, SALT_ROWS = 1 << 24, 512
-#: Pivot rounds end when so many meetings of classes are left for each prefix entry, or after so many rounds.
+#: Partners of one class in a task; salts of shingles whose bucket is so many times fuller than the mean.
+SALT_ROWS, SALTS, SALT_BITS, HOT = 512, 64, 7, 8
+#: Bits of the Bloom filter for each class, and at most; beyond, more texts than needed are hashed again.
+BLOOM_EACH, BLOOM_MOST = 32, 1 << 27
+#: Pivot rounds end when so few meetings of classes are left for each prefix entry, or after so many rounds.
 PAIRS_PER_ENTRY, ROUNDS = 8.0, 8
-#: Groups of at most so many classes need no pivot.
-SMALL = 2
+#: Classes of a group that meet each other directly; larger groups have pivots.
+SMALL = 16
+#: Bands of sizes, as steps of the logarithm.
+BANDS = 32
+#: What is known of each side of a pair, by the letter of its column.
+SIDE = {"c": "cls", "n": "n", "l": "label", "h": "held", "e": "end"}
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -89,6 +102,7 @@ class Order:
         rank = np.empty(len(counts), np.uint32)
         rank[by_rank] = np.arange(len(counts), dtype=np.uint32)
         upto = np.cumsum(counts[by_rank])
+        self.hot = int(np.searchsorted(counts[by_rank], HOT * max(1.0, counts.mean()), "right"))  # first rank of buckets that are far too full
         self.cuts = np.searchsorted(upto, upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
         self.packed = zlib.compress(rank.tobytes(), 1)
 
@@ -96,20 +110,24 @@ class Order:
         return np.frombuffer(zlib.decompress(self.packed), np.uint32)
 
 
+def _band(size: Column) -> Column:
+    return F.floor(F.ln(size.cast("double")) * BANDS).cast("int")
+
+
 def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _prefixes(order, words: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, seen = order.value.ranks(), set()  # classes whose prefix this task has given
+        rank, hot, seen = order.value.ranks(), order.value.hot, set()  # classes whose prefix this task has given
         for batch in batches:
-            out, keys, marks = [], [], []
+            out, salts, keys, marks = [], [], [], []  # salts from 1; 0 for shingles that are not frequent
 
             def rows() -> pa.RecordBatch:
                 count = [len(x) for x in out]  # noqa: B023
                 k, m = (np.repeat(np.array(c, np.int64), count) for c in (keys, marks))  # noqa: B023
-                return pa.record_batch([_signed(np.concatenate(out)), pa.array(k), pa.array(m)], ["gram", "cls", "mark"])  # noqa: B023
+                return pa.record_batch([_signed(np.concatenate(out)), pa.array(k), pa.array(m | np.concatenate(salts) << BUCKET_BITS)], ["gram", "cls", "mark"])  # noqa: B023
 
             waiting = 0
             for grams in shingle_sets(batch.column(0).to_pylist(), words):
@@ -118,14 +136,16 @@ def _prefixes(order, words: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                         seen.clear()
                     seen.add(key)
                     prefix = n + (-percent * n // 100) + 1
-                    at = np.argsort(rank[_bucket(grams)], kind="stable")[:prefix]  # grams ascend, so ties keep the order of hashes
+                    ranks = rank[_bucket(grams)]
+                    at = np.argsort(ranks, kind="stable")[:prefix]  # grams ascend, so ties keep the order of hashes
                     out.append(grams[at])
+                    salts.append(np.where(ranks[at] >= hot, 1 + key % SALTS, 0))
                     keys.append(key)
-                    marks.append(n << BUCKET_BITS | int(rank[int(_bucket(grams[at[-1]]))]))  # size, and the bucket where the prefix ends; ties count for both sides
+                    marks.append(n << BUCKET_BITS + SALT_BITS | int(ranks[at[-1]]))  # size, and the bucket where the prefix ends; ties count for both sides
                     waiting += prefix
                     if waiting > 1 << 18:
                         yield rows()
-                        out, keys, marks, waiting = [], [], [], 0
+                        out, salts, keys, marks, waiting = [], [], [], [], 0
             if out:
                 yield rows()
 
@@ -141,28 +161,31 @@ def _name(doc_id: str, text_key: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.col(text_key).cast("string")))
 
 
-def _bloom_places(name: str) -> tuple[int, int]:
-    s = name.encode()
-    return zlib.crc32(s) % BLOOM_BITS, zlib.crc32(b"x" + s) % BLOOM_BITS
+def _bloom_places(name: str, bits: int) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(name.encode(), 42)  # as Spark's xxhash64
+    return h % bits, (h >> 32) % bits
 
 
-def _bloom(ids: DataFrame) -> bytes:
-    """A Bloom filter of the column ``name`` as bytes; what comes to the driver has a fixed bound."""
-    s = F.col("name")
-    places = F.array(F.crc32(s.cast("binary")) % BLOOM_BITS, F.crc32(F.concat(F.lit("x"), s).cast("binary")) % BLOOM_BITS)
-    words = ids.select(F.explode(places).alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits"))
-    bits = np.zeros(BLOOM_BITS // 32, np.uint32)
+def _bloom(names: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``name`` as 32-bit words; what comes to the driver has a fixed bound."""
+    bits = 1 << 16
+    while bits < min(BLOOM_MOST, BLOOM_EACH * names.count()):
+        bits *= 2
+    h = F.xxhash64("name")
+    places = F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
+    words = names.select(F.explode(places).alias("p")).groupBy((F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 32).cast("int"))).alias("bits"))
+    filled = np.zeros(bits // 32, np.uint32)
     for w, v in words.coalesce(4).toLocalIterator():
-        bits[w] = v
-    return zlib.compress(bits.tobytes(), 1)
+        filled[w] = v
+    return filled
 
 
 def _segments(order, bloom, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, cuts = order.value.ranks(), order.value.cuts
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(bloom.value), np.uint8), bitorder="little")
+        rank, cuts, filled = order.value.ranks(), order.value.cuts, bloom.value
+        bits = 32 * len(filled)
         for batch in batches:
-            want = [all(bits[p] for p in _bloom_places(i)) for i in batch.column(0).to_pylist()]
+            want = [all(int(filled[p >> 5]) >> (p & 31) & 1 for p in _bloom_places(i, bits)) for i in batch.column(0).to_pylist()]
             keys, frags, parts = [], [], []
             for grams in shingle_sets(batch.column(1).filter(pa.array(want, pa.bool_())).to_pylist(), words):
                 if len(grams):
@@ -198,89 +221,167 @@ class Join:
         self.order = self.spark.sparkContext.broadcast(Order(counts))
 
     def entries(self) -> DataFrame:
-        """Prefix shingles that more than one class has: gram, cls, n and of the class where its prefix ends, how many such shingles it has (held) and how many others they have in all (company)."""
+        """Prefix shingles that more than one class has: gram, cls, n and of the class where its prefix ends, how many such shingles it has (held), how many of them in groups of more than SMALL (large) and how many others they have in all (company)."""
         raw = self.texts.select("text").mapInArrow(_prefixes(self.order, self.words, self.percent), "gram long, cls long, mark long")
-        group, own = Window.partitionBy("gram"), Window.partitionBy("cls")
-        each = raw.repartition(F.col("gram")).groupBy("gram", "cls").agg(F.max("mark").alias("mark"))  # one exchange for this and the window
-        many = each.withColumn("k", F.count(F.lit(1)).over(group)).where("k > 1")
-        many = many.withColumns({"n": F.shiftright("mark", BUCKET_BITS), "end": F.col("mark").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))}).drop("mark")
-        return saved(many.withColumns({"held": F.count(F.lit(1)).over(own), "company": F.sum("k").over(own)}).drop("k"), "prefixes")
+        salt = F.shiftright("mark", BUCKET_BITS).bitwiseAND(F.lit((1 << SALT_BITS) - 1))
+        each = raw.withColumn("salt", salt).repartition(F.col("gram"), F.col("salt")).groupBy("gram", "salt", "cls").agg(F.max("mark").alias("mark"))  # one exchange for this and the window
+        each = saved(each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("k > 1 OR salt > 0"), "prefixes")
+        salted = each.where("salt > 0").drop("k")
+        sizes = salted.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        many = each.where("salt = 0").select("gram", "cls", "mark", "k").unionByName(salted.join(sizes, "gram").select("gram", "cls", "mark", "k"))
+        many = many.withColumns({"n": F.shiftright("mark", BUCKET_BITS + SALT_BITS), "end": F.col("mark").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))}).drop("mark")
+        own = Window.partitionBy("cls")
+        found = saved(many.withColumns({"held": F.count(F.lit(1)).over(own), "large": F.sum((F.col("k") > SMALL).cast("long")).over(own), "company": F.sum("k").over(own)}), "entries")
+        discard(each)
+        return found
 
-    def fits(self, m: str = "na", n: str = "nb"):
+    def open(self, entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The entries of groups that hold several components, with label and p, the pivot of the group."""
+        now = entries.withColumn("label", F.col("cls")) if labels is None else entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        lead = F.max(F.struct("company", *SIDE.values())).alias("p")
+        groups = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead).where("lo <> hi").select("gram", "p")
+        return saved(now.join(groups, "gram"), "open")
+
+    def fits(self, m: str = "na", n: str = "nb") -> Column:
         return (F.least(m, n) * 100) >= (F.greatest(m, n) * self.percent)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed per pair."""
-        sides = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        bloom = self.spark.sparkContext.broadcast(_bloom(sides.join(self.classes, "cls").select(_name("rep", "rep_key").alias("name"))))
+    def segments(self, classes: DataFrame) -> DataFrame:
+        """cls, frag, grams: the sets of ``classes`` in fragments, and of others that the Bloom filter lets through."""
+        names = saved(classes.join(self.classes, "cls").select(_name("rep", "rep_key").alias("name")), "names")
+        bloom = self.spark.sparkContext.broadcast(_bloom(names))
+        discard(names)
         raw = self.texts.select(_name("doc_id", "text_key").alias("name"), "text").mapInArrow(_segments(self.order, bloom, self.words), "cls long, frag int, grams array<long>")
-        parts = saved(raw.dropDuplicates(["cls", "frag"]), "segments")
+        return saved(raw.dropDuplicates(["cls", "frag"]), "segments")
+
+    def overlaps(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """The pairs (a, b, na, nb) with their overlap (same): partial overlaps by fragment, summed per pair."""
         salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).alias("salts"))
         mine = parts.join(salts, parts["cls"] == salts["a"]).select("a", "frag", F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
         other = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).join(parts.select(F.col("cls").alias("b"), "frag", F.col("grams").alias("gb")), "b")
         met = other.join(mine, ["a", "frag", "salt"])
-        both = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same"))
-        found = saved(both.where((F.col("same") * 100) >= (F.col("na") + F.col("nb") - F.col("same")) * self.percent).select("a", "b"), "links")
-        discard(parts)
-        release(self.spark)
+        return saved(met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same")), "overlaps")
+
+    def links(self, met: DataFrame) -> DataFrame:
+        return met.where((F.col("same") * 100) >= (F.col("na") + F.col("nb") - F.col("same")) * self.percent).select("a", "b")
+
+    def small(self, entries: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) of classes that meet in small groups and can share enough prefix shingles to link."""
+        x, y = (entries.where(F.col("k") <= SMALL).select("gram", *[F.col(c).alias(x + side) for x, c in (SIDE | {"o": "large"}).items() if x != "l"]) for side in "ab")
+        met = x.join(y, "gram").where("ca < cb").where(self.fits()).where(self.first("a", "b") | self.first("b", "a"))
+        counted = met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count(F.lit(1)).alias("c"), *[F.max(c).alias(c) for c in ("na", "nb", "oa", "ob")])
+        enough = F.col("c") + F.least("oa", "ob") >= F.least(self.need("na", "nb"), self.need("nb", "na"))
+        return saved(counted.where(enough).select("a", "b", "na", "nb"), "small")
+
+    def stars(self, open_: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) of pivots with the other classes of their groups."""
+        sides = [F.col(f"p.{c}").alias(x + "a") for x, c in SIDE.items() if x in "cn"] + [F.col(c).alias(x + "b") for x, c in SIDE.items() if x in "cn"]
+        met = open_.where("cls <> p.cls AND label <> p.label").select(*sides).where(self.fits())
+        return saved(met.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct(), "stars")
+
+    def members(self, open_: DataFrame) -> DataFrame:
+        """Every class of every pivot's groups, once: p, cls, n, held, end."""
+        return open_.select(F.col("p.cls").alias("p"), "cls", "n", "held", "end").distinct()
+
+    def able(self, members: DataFrame) -> DataFrame:
+        """The classes (cls) that their sizes and the prefixes' ends allow to link with some class of their pivot's groups; no two classes meet."""
+        members = saved(members, "members")
+        common = F.ceil(F.col("n") * self.percent / 100) - 1 + F.col("held")
+        partners = self.bands(members, common).select("p", "band", "cls")
+        own = members.select("p", _band(F.col("n")).alias("band"), "cls")
+        cell = lambda df, x: df.groupBy("p", "band").agg(F.min("cls").alias(f"{x}lo"), F.max("cls").alias(f"{x}hi"))
+        cells = saved(cell(partners, "x").join(cell(own, "y"), ["p", "band"]).where("least(xlo, ylo) < greatest(xhi, yhi)"), "cells")
+        some = lambda df, x: df.join(cells, ["p", "band"]).where(f"{x}lo <> cls OR {x}hi <> cls").select("cls")
+        found = saved(some(partners, "y").union(some(own, "x")).distinct(), "able")
+        discard(members)
+        discard(cells)
         return found
 
+    def bands(self, members: DataFrame, common: Column) -> DataFrame:
+        """``members`` in every band of sizes of the sets they can link with, if they have ``common`` shingles in common at most; most is the largest such size."""
+        p = self.percent
+        each = members.withColumn("most", F.least(F.floor((common * (100 + p) - F.col("n") * p) / p), F.floor(F.col("n") * 100 / p)))
+        each = each.withColumn("least", F.ceil(F.col("n") * p / 100)).where("most >= least")
+        return each.withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most"))))).drop("least")
+
+    def lone(self, parts: DataFrame) -> DataFrame:
+        """cls, lone: how many shingles of a class no other class of ``parts`` has."""
+        once = parts.select("cls", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1")
+        return once.groupBy("cls").agg(F.count(F.lit(1)).alias("lone"))
+
+    def known(self, members: DataFrame, met: DataFrame, parts: DataFrame) -> DataFrame:
+        """``members`` with s (shingles that others at hand have too) and i (overlap with the pivot; null where it was not counted)."""
+        each = members.join(self.lone(parts), "cls", "left").join(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), "same"), ["p", "cls"], "left")
+        own = F.when(F.col("p") == F.col("cls"), F.col("n")).otherwise(F.col("same"))
+        return saved(each.select("p", "cls", "n", "held", "end", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s"), own.alias("i")), "known")
+
     def need(self, n: str, other: str) -> Column:
         """How many shingles of its prefix a set of ``n`` must share with one of ``other`` to link, if its prefix ends first."""
         n, other, p = F.col(n), F.col(other), self.percent
         return n - F.ceil(n * p / 100) + 1 - (n - F.ceil((n + other) * p / (100 + p)))
 
-    def led(self, entries: DataFrame) -> DataFrame:
-        """The entries of larger groups with the pivot (p) of their group."""
-        return entries.where(F.col("k") > SMALL).withColumn("p", F.max(F.struct("company", "cls", "n", "label", "held", "end")).over(Window.partitionBy("gram")))
-
-    def stars(self, led: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb) of pivots with the other classes of their groups."""
-        sides = [F.col(f"p.{c}").alias(c[0] + "a") for c in ("cls", "n", "held", "end")] + [F.col(c).alias(c[0] + "b") for c in ("cls", "n", "held", "end")]
-        met = led.where("cls <> p.cls AND label <> p.label").select(*sides).where(self.fits()).where(self.first("a", "b") | self.first("b", "a"))
-        return met.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct()
-
     def first(self, m: str, o: str) -> Column:
         """That the prefix of side ``m`` ends first and has enough shingles that anyone shares."""
         return (F.col(f"e{m}") <= F.col(f"e{o}")) & (F.col(f"h{m}") >= self.need(f"n{m}", f"n{o}"))
 
-    def shared(self, entries: DataFrame) -> DataFrame:
-        """Pairs (a, b, na, nb) of classes of different components that share enough prefix shingles to link.
-
-        If o shingles must be shared in all, of the prefix that ends first at most n - o may be
-        missing in the other set; the number that any other prefix has bounds this before the pair meets.
-        """
-        x, y = (entries.select("gram", *[F.col(c).alias(c[0] + s) for c in ("cls", "n", "label", "held", "end")]) for s in "ab")
-        met = x.join(y, "gram").where("ca < cb AND la <> lb").where(self.fits()).where(self.first("a", "b") | self.first("b", "a"))
-        counted = met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-        return counted.where(F.col("c") >= F.least(self.need("na", "nb"), self.need("nb", "na"))).select("a", "b", "na", "nb")
+    def sides(self, known: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Classes outside their pivot's component in all bands of sizes they can link with, and all classes in the band of their size."""
+        each = known.withColumns({"label": F.col("cls"), "lead": F.col("p")})
+        if labels is not None:
+            of = lambda node, name: labels.select(F.col("node").alias(node), F.col("label").alias(f"_{name}"))
+            each = known.join(of("cls", "label"), "cls", "left").join(of("p", "lead"), "p", "left").withColumns({"label": F.coalesce("_label", "cls"), "lead": F.coalesce("_lead", "p")})
+        named = lambda df, side: df.select("p", "band", *[F.col(c).alias(x + side) for x, c in (SIDE | {"g": "lead", "s": "s", "i": "i"}).items()])
+        return named(self.bands(each.where("label <> lead"), F.col("s")), "a"), named(each.withColumn("band", _band(F.col("n"))), "b")
+
+    def meetings(self, outside: DataFrame, every: DataFrame) -> int:
+        """How many classes meet in bands, counted without meeting them."""
+        many = lambda df, name: df.groupBy("p", "band").agg(F.count(F.lit(1)).alias(name))
+        return int(many(outside, "x").join(many(every, "y"), ["p", "band"]).agg(F.coalesce(F.sum(F.col("x").cast("double") * F.col("y")), F.lit(0.0))).first()[0])
+
+    def apart(self, outside: DataFrame, every: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) of classes of different components that the bounds allow to link."""
+        once = (F.col("lb") == F.col("gb")) | (F.col("ca") < F.col("cb"))  # pairs outside meet from both sides
+        common = F.least("ia", "ib") + F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib"))
+        common = F.when(F.col("ia").isNull() | F.col("ib").isNull(), F.least("sa", "sb")).otherwise(common)
+        able = common * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
+        met = outside.join(every, ["p", "band"]).where("la <> lb").where(once & self.fits() & able).where(self.first("a", "b") | self.first("b", "a"))
+        return saved(met.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct(), "apart")
 
     def labels(self) -> DataFrame | None:
         """cls (node) and label of all linked classes; None without links."""
-        entries, found, labels = self.entries(), None, None
-        size = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
-        budget = PAIRS_PER_ENTRY * (self.rows.agg(F.coalesce(F.sum(F.when(F.col("n") > 0, size)), F.lit(0))).first()[0] or 0)
+        every = self.entries()
+        entries, small = saved(every.where(F.col("k") > SMALL).drop("k", "large"), "entries"), self.small(every)
+        budget = PAIRS_PER_ENTRY * every.count()
+        discard(every)
+        able = self.able(self.members(self.open(entries, None)))
+        parts = self.segments(able.union(small.select("a")).union(small.select("b")).distinct())
+        entries = saved(entries.join(able, "cls", "left_semi"), "entries")
+        found, labels, known = self.links(self.overlaps(small, parts)), None, None
+        open_ = self.open(entries, None)
+        if not open_.limit(1).count():
+            return components(found) if found.limit(1).count() else None
         for number in range(ROUNDS + 1):
-            now = entries.withColumn("label", F.col("cls")) if labels is None else entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            group = Window.partitionBy("gram")
-            open_ = now.withColumns({"_lo": F.min("label").over(group), "_hi": F.max("label").over(group), "k": F.count(F.lit(1)).over(group)}).where("_lo <> _hi").drop("_lo", "_hi")
-            open_ = saved(open_, "open")
-            apart = open_.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("k"))
-            pairs, largest = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
-            if not pairs:
-                return labels
-            last = number == ROUNDS or largest <= SMALL or number > 0 and pairs <= budget
-            now_pairs = saved(self.shared(open_) if last else self.stars(self.led(open_)), "pairs")
-            if now_pairs.limit(1).count():
-                got = self.links(now_pairs)
-                found = got if found is None else found.union(got)
-                labels = components(found) if found.limit(1).count() else labels
-            if last:
-                return labels
-            met = self.led(open_).where("cls = p.cls").select("gram", "cls")  # these pivots have met all of these groups
-            entries = saved(open_.drop("k", "label").join(met, ["gram", "cls"], "left_anti"), "entries")
+            stars = self.stars(open_)
+            met = self.overlaps(stars, parts)
+            if known is None:
+                known = self.known(self.members(open_), met, parts.join(able, "cls", "left_semi"))
+            found = found.union(self.links(met))
+            labels = components(found) if found.limit(1).count() else None
+            led = open_.where("cls = p.cls").select("gram", "cls")  # these pivots have met all of their groups
+            entries = saved(entries.join(led, ["gram", "cls"], "left_anti"), "entries")
+            discard(stars)
             discard(open_)
+            outside, every = self.sides(known, labels)
+            if number == ROUNDS or self.meetings(outside, every) <= budget:
+                more = self.links(self.overlaps(self.apart(outside, every), parts))
+                labels = components(found.union(more)) if more.limit(1).count() else labels
+                break
             release(self.spark)
+            open_ = self.open(entries, labels)
+            if not open_.limit(1).count():
+                break
+        for table in (parts, known, entries):
+            discard(table)
+        release(self.spark)
         return labels
 
 

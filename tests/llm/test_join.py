@@ -122,3 +122,24 @@ def test_keep_one_keeps_one_row_of_each_component(spark):
     assert {(3, a, "x"), (12, b, "x"), (40, None, "x"), (40, None, "y"), (None, prose(42, 90), "x")} <= set(kept)
     ids = [k[0] for k in kept]
     assert ids.count(20) == 1 and ids.count(30) == 1 and ids.count(None) == 2 and 21 not in ids
+
+
+@pytest.mark.parametrize("edits", [(3, 4), (6, 9)])
+def test_large_group_around_the_threshold(spark, edits):
+    """Copies of one text whose edits leave them just inside or just outside the threshold, cut copies, and copies of copies."""
+    base, rows = prose(51, 130), []
+    for s in range(260):
+        text = near(base, s, edits[s % 2])
+        rows.append((s, text if s % 5 else " ".join(text.split()[: 110 + s % 20])))
+    rows += [(1000 + s, near(rows[s * 7][1], 5000 + s, 1)) for s in range(30)] + [(2000, base)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got, want = sorted(str(tuple(r)) for r in ngram_join.join(docs).collect()), brute(rows)
+    assert got == want and len({w.split(",")[2] for w in want}) > 3
+
+
+def test_salted_shingles(spark, monkeypatch):
+    """Every shingle counts as frequent: salted groups give the same components."""
+    rows = [(i, near(prose(61 + i % 3, 50), i, i % 6)) for i in range(60)]
+    monkeypatch.setattr(ngram_join, "HOT", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(str(tuple(r)) for r in ngram_join.join(docs).collect()) == brute(rows)
