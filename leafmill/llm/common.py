@@ -38,9 +38,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: str, key: list[str], label: str) -> DataFrame:
+    """One row of each ``key`` (which holds ``by``), saved in buckets of ``by``, one for each shuffle partition: joins on it exchange only their other side."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, F.col(by)).dropDuplicates(key).write.bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.saved_at, out.saved_as = path, name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a :func:`saved` table that nothing will read again."""
+    """Delete the files of a :func:`saved` or :func:`bucketed` table that nothing will read again."""
     spark, path = df.sparkSession, df.saved_at
+    if name := getattr(df, "saved_as", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 

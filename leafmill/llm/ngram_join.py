@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import COUNT_ROWS, count_rows, discard, fresh, release, saved, summed
+from .common import COUNT_ROWS, bucketed, count_rows, discard, fresh, release, saved, summed
 from .components import components
 from .shingles import WORDS, set_key, shingle_sets
 
@@ -187,6 +187,10 @@ def _segments(order, bloom, words: int) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             want = [all(int(filled[p >> 5]) >> (p & 31) & 1 for p in _bloom_places(i, bits)) for i in batch.column(0).to_pylist()]
             keys, frags, parts = [], [], []
+
+            def rows() -> pa.RecordBatch:
+                return pa.record_batch([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["cls", "frag", "grams"])  # noqa: B023
+
             for grams in shingle_sets(batch.column(1).filter(pa.array(want, pa.bool_())).to_pylist(), words):
                 if len(grams):
                     key, frag = set_key(grams), np.searchsorted(cuts, rank[_bucket(grams)], "right")
@@ -195,9 +199,9 @@ def _segments(order, bloom, words: int) -> Callable[[Iterator[pa.RecordBatch]],
                         frags.append(f)
                         parts.append(grams[frag == f].view(np.int64))
                 if len(parts) > 2000:
-                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["cls", "frag", "grams"])
+                    yield rows()
                     keys, frags, parts = [], [], []
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], ["cls", "frag", "grams"])
+            yield rows()
 
     return run
 
@@ -246,18 +250,20 @@ class Join:
         return (F.least(m, n) * 100) >= (F.greatest(m, n) * self.percent)
 
     def segments(self, classes: DataFrame) -> DataFrame:
-        """cls, frag, grams: the sets of ``classes`` in fragments, and of others that the Bloom filter lets through."""
+        """The sets of ``classes`` in fragments (cls, frag, grams), and of others that the Bloom filter lets through, bucketed by cls so that joins need not move them again."""
         names = saved(classes.join(self.classes, "cls").select(_name("rep", "rep_key").alias("name")), "names")
         bloom = self.spark.sparkContext.broadcast(_bloom(names))
         discard(names)
         raw = self.texts.select(_name("doc_id", "text_key").alias("name"), "text").mapInArrow(_segments(self.order, bloom, self.words), "cls long, frag int, grams array<long>")
-        return saved(raw.dropDuplicates(["cls", "frag"]), "segments")
+        return bucketed(raw, "cls", ["cls", "frag"], "segments")
 
     def overlaps(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs (a, b, na, nb) with their overlap (same): partial overlaps by fragment, summed per pair."""
         salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).alias("salts"))
-        mine = parts.join(salts, parts["cls"] == salts["a"]).select("a", "frag", F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-        other = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).join(parts.select(F.col("cls").alias("b"), "frag", F.col("grams").alias("gb")), "b")
+        mine = parts.join(salts.withColumnRenamed("a", "cls"), "cls")
+        mine = mine.select(F.col("cls").alias("a"), "frag", F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).drop("salts")
+        other = parts.join(salted.withColumnRenamed("b", "cls"), "cls").select("a", F.col("cls").alias("b"), "na", "nb", "salt", "frag", F.col("grams").alias("gb"))
         met = other.join(mine, ["a", "frag", "salt"])
         return saved(met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same")), "overlaps")
 
@@ -303,14 +309,15 @@ class Join:
         each = each.withColumn("least", F.ceil(F.col("n") * p / 100)).where("most >= least")
         return each.withColumn("band", F.explode(F.sequence(_band(F.col("least")), _band(F.col("most"))))).drop("least")
 
-    def lone(self, parts: DataFrame) -> DataFrame:
-        """cls, lone: how many shingles of a class no other class of ``parts`` has."""
-        once = parts.select("cls", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1")
+    def lone(self, classes: DataFrame, parts: DataFrame) -> DataFrame:
+        """cls, lone: how many shingles of each of ``classes`` no other of them has."""
+        grams = parts.join(classes, "cls", "left_semi").select("cls", F.explode("grams").alias("gram"))
+        once = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("cls")).where("c = 1")
         return once.groupBy("cls").agg(F.count(F.lit(1)).alias("lone"))
 
     def known(self, members: DataFrame, met: DataFrame, parts: DataFrame) -> DataFrame:
         """``members`` with s (shingles that others at hand have too) and i (overlap with the pivot; null where it was not counted)."""
-        each = members.join(self.lone(parts), "cls", "left").join(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), "same"), ["p", "cls"], "left")
+        each = members.join(self.lone(members.select("cls").distinct(), parts), "cls", "left").join(met.select(F.col("a").alias("p"), F.col("b").alias("cls"), "same"), ["p", "cls"], "left")
         own = F.when(F.col("p") == F.col("cls"), F.col("n")).otherwise(F.col("same"))
         return saved(each.select("p", "cls", "n", "held", "end", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s"), own.alias("i")), "known")
 
@@ -355,31 +362,26 @@ class Join:
         able = self.able(self.members(self.open(entries, None)))
         parts = self.segments(able.union(small.select("a")).union(small.select("b")).distinct())
         entries = saved(entries.join(able, "cls", "left_semi"), "entries")
-        found, labels, known = self.links(self.overlaps(small, parts)), None, None
         open_ = self.open(entries, None)
-        if not open_.limit(1).count():
-            return components(found) if found.limit(1).count() else None
+        met = self.overlaps(small.union(self.stars(open_)).distinct(), parts)
+        known, found, labels = self.known(self.members(open_), met, parts), self.links(met), None
         for number in range(ROUNDS + 1):
-            stars = self.stars(open_)
-            met = self.overlaps(stars, parts)
-            if known is None:
-                known = self.known(self.members(open_), met, parts.join(able, "cls", "left_semi"))
-            found = found.union(self.links(met))
             labels = components(found) if found.limit(1).count() else None
-            led = open_.where("cls = p.cls").select("gram", "cls")  # these pivots have met all of their groups
-            entries = saved(entries.join(led, ["gram", "cls"], "left_anti"), "entries")
-            discard(stars)
-            discard(open_)
             outside, every = self.sides(known, labels)
-            if number == ROUNDS or self.meetings(outside, every) <= budget:
+            meetings = self.meetings(outside, every)
+            if not meetings:
+                break
+            if number == ROUNDS or meetings <= budget:
                 more = self.links(self.overlaps(self.apart(outside, every), parts))
                 labels = components(found.union(more)) if more.limit(1).count() else labels
                 break
-            release(self.spark)
+            led = open_.where("cls = p.cls").select("gram", "cls")  # these pivots have met all of their groups
+            entries = saved(entries.join(led, ["gram", "cls"], "left_anti"), "entries")
+            discard(open_)
             open_ = self.open(entries, labels)
-            if not open_.limit(1).count():
-                break
-        for table in (parts, known, entries):
+            found = found.union(self.links(self.overlaps(self.stars(open_), parts)))
+            release(self.spark)
+        for table in (open_, known, entries, parts):
             discard(table)
         release(self.spark)
         return labels
