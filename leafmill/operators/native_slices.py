@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import bound, running_sums
+
 JAVA_SPECIAL = re.compile(r"([\\.\[\]{}()*+?^$|])")
 
 
@@ -32,23 +34,26 @@ def slices(docs: DataFrame, start: str, end: str, source: str = "html", regex: b
     cut = docs.select(*keys, F.split(text, whole, -1).alias("_gaps"), F.regexp_extract_all(text, F.lit(f"{mode}({a})((?s:.*?))({b})"), F.lit(1)).alias("_a"),
                       F.regexp_extract_all(text, F.lit(f"{mode}({a})((?s:.*?))({b})"), F.lit(2)).alias("_v"), F.regexp_extract_all(text, F.lit(f"{mode}({a})((?s:.*?))({b})"), F.lit(3)).alias("_b"))
     size = lambda c: F.octet_length(c).cast("long")
-    empty = F.array().cast("array<struct<index:bigint,outer_start:bigint,inner_start:bigint,inner_end:bigint,outer_end:bigint,value:string>>")
+    empty_type = "array<struct<index:bigint,outer_start:bigint,inner_start:bigint,inner_end:bigint,outer_end:bigint,value:string>>"
+    empty = F.array().cast(empty_type)
     parts = F.arrays_zip(F.slice("_gaps", 1, F.size("_v")).alias("gap"), F.col("_a").alias("a"), F.col("_v").alias("v"), F.col("_b").alias("b"))
 
-    def step(acc, x):
-        o = acc["at"] + size(x["gap"])
+    def ranges(x, at, index):
+        o = at + size(x["gap"])
         i = o + size(x["a"])
         j = i + size(x["v"])
-        e = j + size(x["b"])
-        one = F.struct((F.size(acc["out"]) + 1).cast("long").alias("index"), o.alias("outer_start"), i.alias("inner_start"), j.alias("inner_end"), e.alias("outer_end"), x["v"].alias("value"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct((index + 1).cast("long").alias("index"), o.alias("outer_start"), i.alias("inner_start"), j.alias("inner_end"), (j + size(x["b"])).alias("outer_end"), x["v"].alias("value"))
+
+    def placed(found):
+        starts = running_sums(F.transform(found, lambda x: size(x["gap"]) + size(x["a"]) + size(x["v"]) + size(x["b"])))
+        return F.transform(F.zip_with(found, starts, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), lambda y, index: ranges(y["x"], y["at"], index))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step)
+    found = F.coalesce(bound(parts, placed), empty).cast(empty_type)
     rest = F.element_at("_gaps", -1)
     opened = F.regexp_instr(rest, F.lit(f"{mode}{a}"))
     names = [c for c in docs.columns if c != source]
     out = cut.select(*names, found.alias("_f"), F.when(opened > 0, size(F.substring(rest, F.lit(1), opened - 1))).alias("_d"))
-    return out.select(*names, F.col("_f.out").alias("slices"), (F.col("_f.at") + F.col("_d")).alias("dangling"))
+    return out.select(*names, F.col("_f").alias("slices"), (F.coalesce(F.element_at("_f", -1)["outer_end"], F.lit(0)) + F.col("_d")).alias("dangling"))
 
 
 def slice_rows(docs: DataFrame, start: str, end: str, source: str = "html", regex: bool = False, flags: str = "") -> DataFrame:
