@@ -1,24 +1,28 @@
 """Exact dedup by a tree merge of sorted digest runs (native: DataFrame operations only).
 
 Every row is dealt to one of ``2 ** bits`` runs by its doc_id. A run holds one entry per
-distinct text: digest, byte length and a second hash (entries merge only when all three
-agree), largest and smallest doc_id and the number of rows. Rounds then merge
-``2 ** fan`` neighbouring runs each (run numbers lose ``fan`` low bits), as in a binomial
-tree, until one run is left; the answers travel back down the same tree. On every level
-an entry has at most ``2 ** fan`` children and Spark combines entries before it moves
-them, so a text with a third of all rows costs no more than ``2 ** fan`` rows per merge.
+distinct text, sorted by digest: digest, byte length and a second hash (entries merge only
+when all three agree), largest and smallest doc_id and the number of rows. In each round
+``2 ** fan`` neighbouring runs become one: run numbers lose ``fan`` low bits, and so that no
+task ever holds a whole large run, each is cut into ``2 ** fan`` times as many segments by
+the first bits of the digest. Segments of one merged run are exchanged, sorted together
+(Spark merges sorted spills) and read in order; of neighbours that agree one entry stays, with
+the smallest and largest identifiers. A merged entry has at most ``2 ** fan`` children,
+so a text with a third of all rows costs no more than that per merge. After the last
+round there is one run in ``2 ** bits`` segments; the answers travel back down the same tree.
 Only digests move, never texts.
 
 Null texts count as empty. Of equal texts the row with the largest doc_id stays; rows
-without a doc_id lose against any other, and a group with none at all keeps every row.
-Rows that repeat both doc_id and text are kept or dropped together. Other columns are
-ignored.
+without a doc_id lose against any other. :func:`dedup` marks rows that repeat both doc_id
+and text alike (``kept`` for all of them; for none in groups without any doc_id);
+:func:`drop_duplicates` leaves exactly one row of each text. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fresh, saved
 
@@ -31,20 +35,32 @@ def run_bits(docs: DataFrame, fan: int) -> int:
     return fan * -(-(wanted - 1).bit_length() // fan)
 
 
+def _ordered(level: DataFrame, fan: int, number: int) -> DataFrame:
+    """The runs of round ``number``: exchanged by run and segment, sorted by digest, neighbours that agree merged."""
+    segment = F.shiftright(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), 32 - fan * number)
+    keys = ["run", "segment", *SAME]
+    met = level.withColumn("segment", segment).repartition("run", "segment").sortWithinPartitions(*keys)
+    alike = Window.partitionBy(*keys).orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = met.withColumns({
+        "first": F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)), "n": F.sum("n").over(alike),
+        "largest": F.max("largest").over(alike), "smallest": F.min("smallest").over(alike),
+    })
+    return merged.where("first = 1").drop("first", "segment")
+
+
 def merge(docs: DataFrame, fan: int = 4, bits: int | None = None) -> DataFrame:
     """doc_id, digest (binary), group_size and the smallest and largest doc_id of each row's group."""
     bits = bits or run_bits(docs, fan)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    dealt = F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.spark_partition_id()), F.lit(1 << bits))
     rows = saved(docs.select(
-        "doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("check"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << bits)).cast("int").alias("run"),
+        "doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("check"), dealt.cast("int").alias("run"),
     ), "digests")
     level = rows.groupBy("run", *SAME).agg(F.max("doc_id").alias("largest"), F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n"))
-    levels = [saved(level, "run0")]
-    for _ in range(bits // fan):
-        level = levels[-1].withColumn("run", F.shiftright("run", fan)).groupBy("run", *SAME).agg(
-            F.max("largest").alias("largest"), F.min("smallest").alias("smallest"), F.sum("n").alias("n"))
-        levels.append(level if len(levels) == bits // fan else saved(level, f"run{len(levels)}"))
+    levels = [saved(level.sortWithinPartitions("run", *SAME), "run0")]
+    for number in range(1, bits // fan + 1):
+        level = _ordered(levels[-1].withColumn("run", F.shiftright("run", fan)), fan, number)
+        levels.append(level if number == bits // fan else saved(level, f"run{number}"))
     answer = levels.pop()
     while levels:
         children = levels.pop().select("run", *SAME, F.shiftright("run", fan).alias("up"))
@@ -62,11 +78,15 @@ def dedup(docs: DataFrame, fan: int = 4, bits: int | None = None) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`dedup` drops; columns as they are."""
-    gone = dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    """``docs`` with exactly one row of each text: the largest doc_id, any one of rows that repeat it; columns as they are."""
+    each = dedup(docs).groupBy(F.col("doc_id").alias("_named"), F.col("text_sha256").alias("_text"), F.col("keep_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n"))
+    stays = F.col("_named").eqNullSafe(F.col("_keep"))
+    marked = saved(each.select("_named", "_text", stays.alias("_stays"), "_n").where("NOT _stays OR _n > 1").drop("_n"), "marked")
     mine = fresh(docs, "_sha")
-    left = docs.withColumn(mine, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    return left.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(mine) == F.col("_gone_text")), "left_anti").drop(mine)
+    told = docs.withColumn(mine, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_named")) & (F.col(mine) == F.col("_text"))
+    repeated = told.join(marked.where("_stays").drop("_stays"), same, "left_semi").dropDuplicates([mine])
+    return told.join(marked.drop("_stays"), same, "left_anti").unionByName(repeated).drop(mine)
 
 
 ORACLE = """
