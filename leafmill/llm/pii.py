@@ -4,8 +4,8 @@ Base rules (``email``, ``ip``, ``card``, ``phone``) always stay. Further generat
 high recall propose spans that may overlap each other: local phone numbers, identity
 numbers, account numbers and e-mail addresses written out. Boosted trees score each
 proposal from its format and the words around it, a logistic curve calibrates the score,
-and proposals at or above the kind's threshold that touch no base span are reported; of
-overlapping ones the best score wins, then the earlier start.
+and proposals at or above the kind's threshold that touch no base span are reported, if they
+overlap no proposal with a better score (of equal scores: an earlier start).
 
 The trees are fitted on the driver over a fixed synthetic set (``TRAINING_SIZE``
 proposals per kind; no corpus has labelled spans), half of it held out for calibration and
@@ -20,14 +20,17 @@ from __future__ import annotations
 
 import random
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import bound
+
 from . import boosting
-from .spans import LOCATED, SPAN, as_spans, located, written
+from .spans import LOCATED, SPAN, as_spans, free_of, located, looking, written
 
 KINDS = ["email", "ip", "card", "phone", "local", "identity", "account", "spelled"]
 # A match may start at the start of its run or where the last match ended; so each run is read once.
@@ -155,11 +158,21 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", selected
     out = docs.withColumns({base: F.array_sort(F.concat(*rules)), tmp[0]: F.concat(
         F.when(t.rlike(r"[0-9]{3}[.\x20-][0-9]{4}"), _proposals(t, 4)).otherwise(some), F.when(t.rlike("[0-9]-[0-9]{2}-[0-9]"), _proposals(t, 5)).otherwise(some),
         _proposals(t, 6), F.when(t.rlike(r"[\[(]dot[\])]"), _proposals(t, 7)).otherwise(some))})
-    apart = lambda x: ~F.exists(base, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-    out = out.withColumn(tmp[1], F.array_sort(F.filter(tmp[0], apart)))
-    best = F.aggregate(tmp[1], none, lambda acc, x: F.when(
-        F.exists(acc, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))))
-    return out.withColumn(selected, F.when(F.size(tmp[1]) > 0, best).otherwise(none)).drop(*tmp)
+    strong = [F.filter(base, lambda x, k=k: x["k"] == k) for k in range(4)]
+    out = out.withColumn(tmp[1], F.when(F.size(tmp[0]) > 0, bound(F.col(tmp[0]), lambda x: free_of(x, strong))).otherwise(some))
+    return out.withColumn(selected, F.when(F.size(tmp[1]) > 0, bound(F.col(tmp[1]), _best)).otherwise(none)).drop(*tmp)
+
+
+def _best(proposals: Column) -> Column:
+    """The spans of those that overlap no proposal with a better score (of equal ones: an earlier start, a smaller kind)."""
+    kinds = [F.array_sort(F.filter(proposals, lambda x, k=k: x["k"] == k), lambda a, b: a["s"] - b["s"]) for k in PROPOSED]
+
+    def chosen(looks: list) -> Column:
+        better = lambda y, x: F.struct(y["p"], y["s"], y["k"]) < F.struct(x["p"], x["s"], x["k"])
+        beaten = lambda x, between: F.exists(between(x["s"], x["e"]), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & better(y, x))
+        return F.filter(proposals, lambda x: ~reduce(or_, [beaten(x, between) for between in looks]))
+
+    return F.transform(looking(kinds, chosen), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """Secret scans by multipart credential linking (native: column expressions only).
 
 Strong secrets (``assign``, ``access``, ``hex``) are reported wherever they match.
-Weak parts mean little alone and are reported only where complementary parts lie in
-one scope: a window of ``2 * reach`` code points, windows starting every ``reach``.
-The interval join maps each part to the two windows that cover its start and
-intersects the window sets of the roles, so its work grows with the number of parts
-and never with their pairs. Everything is computed inside the row: no shuffle, and no
-row depends on another, so skewed sources and repeated rows change nothing.
+Weak parts mean little alone and are reported only where complementary parts start
+within ``reach`` code points of them. The interval join sorts the parts of a role into
+windows of the text and looks only into the windows that the scope touches, so its work
+grows with the number of parts and never with their pairs. Everything is computed inside
+the row: no shuffle, and no row depends on another, so skewed sources and repeated rows
+change nothing.
 
 Roles: identifiers (``ident`` and strong ``access``), secrets (``weak`` and strong
 ``assign``), endpoints (``endpoint``). Reported weak parts:
@@ -14,7 +14,7 @@ Roles: identifiers (``ident`` and strong ``access``), secrets (``weak`` and stro
 * ``weak``: an assigned value of 4 to 7 characters, or a loose 40-character base64
   word mixing cases and digits, with an identifier or an endpoint in scope;
 * ``ident``: with a secret in scope;
-* ``endpoint``: with an identifier and a secret in one scope.
+* ``endpoint``: with an identifier and a secret in scope.
 
 Null and empty texts have no spans; rows keep any doc_id, null included; repeated
 rows give repeated results; other columns are ignored whatever their names.
@@ -25,7 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, as_spans, located, masked, written
+from leafmill.functions.arrays import bound
+
+from .spans import SPAN, as_spans, free_of, located, masked, within, written
 
 KINDS = ["assign", "access", "hex", "ident", "weak", "endpoint"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
@@ -37,18 +39,9 @@ ENDPOINT = r"(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp
 REACH = 256
 
 
-def _scopes(spans: Column, reach: int) -> Column:
-    """The windows that cover the starts of ``spans``."""
-    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.array((x["s"] / reach).cast("int"), (x["s"] / reach).cast("int") - 1))))
-
-
-def _linked(spans: Column, scopes: Column, reach: int) -> Column:
-    return F.filter(spans, lambda x: F.arrays_overlap(F.array((x["s"] / reach).cast("int"), (x["s"] / reach).cast("int") - 1), scopes))
-
-
 def with_spans(docs: DataFrame, text: str = "text", base: str = "base", linked: str = "linked", reach: int = REACH) -> DataFrame:
     """``docs`` with the strong spans (``base``) and the linked weak spans (``linked``) of every whole text."""
-    t, none, tmp = F.coalesce(F.col(text).cast("string"), F.lit("")), F.array().cast(SPAN), [f"_{base}_{i}" for i in range(6)]
+    t, none, tmp = F.coalesce(F.col(text).cast("string"), F.lit("")), F.array().cast(SPAN), [f"_{base}_{i}" for i in range(7)]
     value = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2))
     mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[a-z]") & x["m"].rlike("[A-Z]")
     out = docs.withColumns({
@@ -57,23 +50,22 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", linked:
         tmp[2]: F.when(t.rlike("[0-9A-Za-z+/]{32}"), F.struct(as_spans(located(t, HEX), 2).alias("hex"), as_spans(F.filter(located(t, LOOSE), mixed), 4).alias("loose"))),
     })
     out = out.withColumns({
-        tmp[3]: F.concat(as_spans(F.filter(F.col(tmp[0]), lambda x: value(x).between(4, 7)), 4), F.coalesce(F.col(tmp[2])["loose"], none)),
+        tmp[3]: as_spans(F.filter(F.col(tmp[0]), lambda x: value(x).between(4, 7)), 4), tmp[6]: F.coalesce(F.col(tmp[2])["loose"], none),
         base: F.array_sort(F.concat(as_spans(F.filter(F.col(tmp[0]), lambda x: value(x) >= 8), 0), F.col(tmp[1]), F.coalesce(F.col(tmp[2])["hex"], none))),
     })
-    held = F.size(tmp[3]) + F.size(base) > 0  # identifiers and endpoints only count beside a secret
+    held = F.size(tmp[3]) + F.size(tmp[6]) + F.size(base) > 0  # identifiers and endpoints only count beside a secret
     out = out.withColumns({
         tmp[4]: F.when(held, as_spans(located(t, IDENT), 3)).otherwise(none),
         tmp[5]: F.when(held, as_spans(located(t, ENDPOINT), 5)).otherwise(none),
     })
-    secrets = _scopes(F.concat(F.col(tmp[3]), F.filter(F.col(base), lambda x: x["k"] == 0)), reach)
-    idents = _scopes(F.concat(F.col(tmp[4]), F.col(tmp[1])), reach)
-    ends = _scopes(F.col(tmp[5]), reach)
-    strong = F.col(base)
-    free = lambda x: ~F.exists(strong, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    strong = [F.filter(base, lambda x, k=k: x["k"] == k) for k in range(3)]
+    values, idents, ends, loose = (F.col(tmp[i]) for i in (3, 4, 5, 6))
+    secrets, named = [values, loose, strong[0]], [idents, strong[1]]
+    some = lambda spans, then: F.when(F.size(spans) > 0, bound(spans, then)).otherwise(none)
     found = F.concat(
-        F.filter(_linked(F.col(tmp[3]), F.array_union(idents, ends), reach), free),
-        F.filter(_linked(F.col(tmp[4]), secrets, reach), free),
-        _linked(F.col(tmp[5]), F.array_intersect(idents, secrets), reach),
+        some(F.concat(values, loose), lambda x: free_of(within(x, [*named, ends], reach), strong)),
+        some(idents, lambda x: free_of(within(x, secrets, reach), strong)),
+        some(ends, lambda x: within(within(x, named, reach), secrets, reach)),
     )
     return out.withColumn(linked, F.when(held, found).otherwise(none)).drop(*tmp)
 

@@ -1,6 +1,7 @@
 """Secret scans, personal data, exact dedup and sharding against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import boosting, exact_dedup, pii, secret_scan, sharding
 
+from leafmill.llm.spans import masked
+
 from .conftest import odd_rows
 
 
@@ -105,6 +108,24 @@ def test_dedup_keeps_columns(odd, empty):
     assert exact_dedup.dedup(empty).collect() == []
 
 
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(3, "same", "a"), (3, "same", "b"), (2, "same", "c"), (None, "eq", "d"), (None, "eq", "e"), (None, None, "f"), (7, "", "g"), (None, "alone", "h")]
+    out = sorted(str(tuple(r)[:2]) for r in exact_dedup.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect())
+    assert out == sorted(map(str, [(3, "same"), (None, "eq"), (7, ""), (None, "alone")]))
+
+
+def test_dedup_sorts_and_merges_runs(spark):
+    """Every round's plan exchanges by run and segment and sorts by digest."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "cast(id % 90 AS string) AS text")
+    entries = docs.selectExpr("doc_id % 16 AS run", "unhex(sha2(text, 256)) AS digest", "length(text) AS bytes", "xxhash64(text) AS check", "doc_id AS largest", "doc_id AS smallest", "1L AS n")
+    out = exact_dedup._ordered(entries.withColumn("run", F.shiftright("run", 2)), 2, 1)
+    rows = out.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).collect()
+    for part in {r.part for r in rows}:
+        keys = [(r.run, r.digest[0] >> 6, bytes(r.digest)) for r in sorted(rows, key=lambda r: r.at) if r.part == part]
+        assert keys == sorted(keys) and len(set(keys)) == len(keys)
+    assert sum(r.n for r in rows) == 300
+
+
 def test_sharding(odd, empty, spark):
     assert sharding.shard(empty).collect() == []
     rows = sharding.shard(odd, shards=3).collect()
@@ -122,3 +143,43 @@ def test_sharding(odd, empty, spark):
         assert (len(same) == 1) == together
         if not together:
             assert max(sizes.values()) < 1.02 * min(sizes.values())
+
+
+def test_links_are_by_distance(spark):
+    """Parts link when they start at most REACH apart, wherever the windows of the index lie."""
+    texts = []
+    for at in (0, 100, 250, 500):
+        for gap in (200, 240, 256, 257, 300, 511):
+            texts.append(" " * at + "login: bobby".ljust(gap) + "token: abcd")
+    rows = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (rows[i] != "") == (t.index("token") - t.index("login") <= secret_scan.REACH), (i, rows[i])
+
+
+def test_many_spans_in_one_text(spark):
+    """200,000 matches in one text: positions, links and masks without quadratic work."""
+    n = 100_000
+    text = "token=abcdefgh1 AKIAABCDEFGHIJKL12 " * n
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    row = secret_scan.scan(docs).first()
+    assert (row.n_assign, row.n_access) == (n, n) and row.base_sha256 == digest(secrets(text), secret_scan.KINDS)
+    assert secret_scan.redact(docs).select(F.sha2("text", 256)).first()[0] == hashlib.sha256(("[SECRET] " * 2 * n).encode()).hexdigest()
+    text = "bo@example.org 10.0.0.1 " * n
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_email, row.n_ip) == (n, n) and row.base_sha256 == digest(personal(text), pii.KINDS)
+
+
+def test_masks_merge_overlaps(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        text = "".join(rng.choice("abcdé𝒳 ") for _ in range(rng.randrange(60)))
+        rows.append((i, text, [(s, 0, min(len(text), s + rng.randrange(1, 9))) for s in (rng.randrange(len(text)) for _ in range(rng.randrange(12)))] if text else []))
+    out = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<s:int,k:int,e:int>>").withColumn("got", masked(F.col("text"), F.col("spans"), "#"))
+    for r in out.collect():
+        want, at = "", 0
+        for s, _, e in sorted((x.s, x.k, x.e) for x in r.spans):
+            if e > at:
+                want += r.text[at:s] + "#" if s >= at else ""
+                at = e
+        assert r.got == want + r.text[at:]
