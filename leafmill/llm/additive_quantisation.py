@@ -6,14 +6,15 @@ encoding and least squares over all codebooks at once. Every vector is indexed:
 beam of ``BEAM`` partial sums picks its code words, and the squared norm of their sum is stored.
 
 A search takes queries in blocks of ``BLOCK``. For each block every partition of the index
-is read once: lookup tables of inner products and the stored norms score all codes,
-the best ``SHORTLIST`` of each chunk of ``CHUNK`` rows are reranked by exact double-precision
-distance, and each partition returns its best k of each query, which are merged.
+is read once: lookup tables of inner products and the stored norms score all codes. A query
+carries the ``SHORTLIST`` best scores of the partition through its chunks of ``CHUNK`` rows; what
+gets among them is reranked by exact double-precision distance while its chunk is at hand.
+Each partition returns its best k of each query, which are merged.
 
 Ties go to the smaller vec_id, also between equal codes. Vectors that are null, zero, hold
 null or non-finite components, have no vec_id or another dimension than most take no
-part. Rows that repeat a vec_id are candidates of their own; a repeated query is asked
-once, with its smallest vector. With fewer candidates than k all are returned; an empty
+part. Rows that repeat a vec_id are candidates of their own, also of each other; a repeated
+query is asked once, with its smallest vector, and only that row is no candidate. With fewer candidates than k all are returned; an empty
 table gives no rows. Other columns are ignored.
 """
 
@@ -123,18 +124,18 @@ def _indexed(books: Codebooks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Codebooks | None, DataFrame]:
-    """Codebooks, and an index row (vec_id, embedding, codes, norm) for every usable vector."""
+    """Codebooks, and an index row (vec_id, embedding, codes, norm, row) for every usable vector; row is a number of its own."""
     vectors = usable(vectors)
     n = vectors.count()
     share = min(1.0, sample / n) if n else 0
     picked = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000_000)) < int(share * 1_000_000_000)).select("vec_id", "embedding").limit(2 * sample).collect()
     if not n:
-        return None, vectors.selectExpr("vec_id", "embedding", "cast(null as binary) codes", "cast(0 as double) norm")
+        return None, vectors.selectExpr("vec_id", "embedding", "cast(null as binary) codes", "cast(0 as double) norm", "0L row")
     if not picked:
         picked = vectors.limit(sample).collect()
     x = np.array([r["embedding"] for r in sorted(picked, key=lambda r: (r["vec_id"], r["embedding"]))], np.float64)
     books = train(x)
-    return books, saved(vectors.mapInArrow(_indexed(books), "vec_id long, embedding array<double>, codes binary, norm double"), "index")
+    return books, saved(vectors.mapInArrow(_indexed(books), "vec_id long, embedding array<double>, codes binary, norm double").withColumn("row", F.monotonically_increasing_id()), "index")
 
 
 def _best(score: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
@@ -151,11 +152,12 @@ def _best(score: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
 
 def _searched(books, asked, k: int, shortlist: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = asked.value
+        query_ids, queries, own_rows = asked.value
         words = books.value.words
         m = words.shape[0]
         table = np.einsum("qd,mkd->mqk", queries, words, optimize=True)
         best_d, best_i = np.full((len(queries), 0), np.inf), np.zeros((len(queries), 0), np.int64)
+        least = np.full((len(queries), 0), np.inf)  # the best scores so far
         for batch in batches:
             for a in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(a, CHUNK)
@@ -164,14 +166,18 @@ def _searched(books, asked, k: int, shortlist: int) -> Callable[[Iterator[pa.Rec
                 score = np.broadcast_to(part.column(3).to_numpy(), (len(queries), len(ids))).copy()
                 for level in range(m):
                     score -= 2 * table[level][:, codes[:, level]]
-                score[query_ids[:, None] == ids[None, :]] = np.inf
+                score[own_rows[:, None] == part.column(4).to_numpy()[None, :]] = np.inf
                 near = _best(score, ids, min(shortlist, len(ids)))
-                own = ids[near]
-                exact = np.empty(near.shape)
-                for i in range(0, len(queries), 128):
-                    diff = x[near[i : i + 128]] - queries[i : i + 128, None]
-                    exact[i : i + 128] = np.sqrt(np.einsum("qrd,qrd->qr", diff, diff))
-                exact[own == query_ids[:, None]] = np.inf
+                scores = np.take_along_axis(score, near, 1)
+                least = np.concatenate([least, scores], 1)
+                if least.shape[1] > shortlist:
+                    least = np.partition(least, shortlist - 1, axis=1)[:, :shortlist]
+                q, c = np.nonzero((scores <= least.max(1, keepdims=True)) & np.isfinite(scores))
+                own, exact = ids[near], np.full(near.shape, np.inf)
+                for i in range(0, len(q), 1 << 15):
+                    qi, ci = q[i : i + (1 << 15)], c[i : i + (1 << 15)]
+                    diff = x[near[qi, ci]] - queries[qi]
+                    exact[qi, ci] = np.sqrt(np.einsum("rd,rd->r", diff, diff))
                 best_d, best_i = np.concatenate([best_d, exact], 1), np.concatenate([best_i, own], 1)
                 keep = _best(best_d, best_i, min(k, best_d.shape[1]))
                 best_d, best_i = np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
@@ -182,17 +188,17 @@ def _searched(books, asked, k: int, shortlist: int) -> Callable[[Iterator[pa.Rec
 
 
 def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int = 10, block: int = BLOCK, shortlist: int = SHORTLIST) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest found."""
+    """query_id, rank, vec_id, score: the k nearest found of each of ``queries``, which are rows of ``index`` (vec_id, embedding, row)."""
     spark = index.sparkSession
     found = None
-    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = queries.groupBy("vec_id").agg(F.min(F.struct("embedding", "row")).alias("own")).select("vec_id", "own.embedding", "own.row")
     n = asked.count() if books else 0
     blocks = -(-n // block)
     for i in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
         if not rows:
             continue
-        held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)))
+        held = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64), np.array([r["row"] for r in rows])))
         run = _searched(spark.sparkContext.broadcast(books), held, k, shortlist)
         got = index.mapInArrow(run, "query_id long, vec_id long, score double")
         got = got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
@@ -206,4 +212,4 @@ def search(index: DataFrame, books: Codebooks | None, queries: DataFrame, k: int
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """The k nearest of every vector whose vec_id is divisible by ``every``."""
     books, index = build_index(vectors)
-    return search(index, books, index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding"), k)
+    return search(index, books, index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", "row"), k)
