@@ -28,6 +28,8 @@ from .common import COUNT_ROWS, count_rows, held_out, summed
 FEATURES, SAMPLE, EPOCHS = 1 << 16, 4000, 3
 ALPHA, BETA, L1, L2, SCALE = 0.5, 0.1, 0.02, 0.01, 100.0
 UNKNOWN = "und"
+#: Texts with so many n-grams have them counted by feature before weights are looked up, which bounds the memory.
+COUNTED = 1 << 14
 _table: list[np.ndarray] = []
 
 
@@ -44,7 +46,8 @@ def grams(text: str) -> np.ndarray | None:
     high = points >= 1 << 16
     p = _letters()[np.where(high, 32, points)]
     if high.any():
-        p = np.where(high & np.array([chr(c).isalpha() for c in points.tolist()]), points, p)
+        kinds, which = np.unique(points[high], return_inverse=True)
+        p[high] = np.where(np.array([chr(c).isalpha() for c in kinds.tolist()])[which], points[high], 32)
     if (p == 32).all():
         return None
     p = p[np.concatenate([[True], (p[1:] != 32) | (p[:-1] != 32)])].astype(np.uint32)  # one space between words
@@ -74,7 +77,11 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, g: np.ndarray) -> np.ndarray:
-        return self.bias + self.weights[g].sum(0, dtype=np.float64) / len(g)
+        if len(g) < COUNTED:
+            return self.bias + self.weights[g].sum(0, dtype=np.float64) / len(g)
+        n = np.bincount(g, minlength=len(self.weights))
+        f = np.flatnonzero(n)
+        return self.bias + n[f] @ self.weights[f].astype(np.float64) / len(g)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         g = grams(text or "")
