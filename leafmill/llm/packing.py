@@ -1,15 +1,17 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Documents become pieces of at most ``capacity`` tokens (only longer documents are cut);
-a piece of full capacity is a sequence of its own. All other pieces are dealt to islands
-of about ``island`` pieces by a hash of document and piece. An island evolves a small
-population of packings: each starts from best-fit decreasing over a differently
-perturbed order; a crossover injects the well-filled bins of one parent into the other,
-removes bins that would repeat a piece, and best-fits the displaced pieces. The best
-packing's well-filled bins are settled as elites; the pieces of its poor bins migrate to
-the islands of the next round, which hold pieces of many islands. The last round settles
-all. Islands hold a bounded number of pieces at every size of input and are
-seeded by their number, so a lost task repeats the same result.
+a piece of full capacity is a sequence of its own. All other pieces get a number and
+are dealt by it to demes of about ``deme`` pieces. ``ISLANDS`` islands evolve each deme's pieces
+apart, each a small population of packings: they start from best-fit decreasing over
+differently perturbed orders; a crossover injects the well-filled bins of one parent into
+the other, removes bins that would repeat a piece, and best-fits the displaced pieces.
+After each of ``EPOCHS`` epochs the elites (the well-filled bins of an island's best packing)
+migrate to the next island of the deme, which injects them into its own. The deme's best
+packing then settles its well-filled bins; the pieces of its poor bins are dealt to the
+demes of the next round, among pieces of many demes. The last round settles all. Demes
+hold a bounded number of pieces at every size of input, whatever ids repeat or are
+null, and islands are seeded by their numbers, so a lost task repeats the same result.
 
 Null and empty texts are one piece with the end id alone. Rows are packed as they are:
 repeated doc_ids each get their own pieces. Other columns are ignored. An empty table
@@ -32,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPACES, classes
-from .common import saved
+from .common import discard, saved
 from .words import Coder
 
-CAPACITY, END, ISLAND, ROUNDS = 2048, 0, 8192, 3
+CAPACITY, END, DEME, ROUNDS = 2048, 0, 8192, 3
+ISLANDS, EPOCHS = 2, 2
 #: Bins with at most this share of waste are elites.
 WASTE = 0.004
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -161,10 +164,19 @@ def _cross(a: Bins, b: Bins, sizes: list[int], rng: random.Random, waste: float)
     return child
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, population: int = 4, generations: int = 8, waste: float = WASTE) -> Bins:
-    """The fittest packing after ``generations`` crossovers, or the first that meets the lower bound of bins."""
+def evolve(sizes: list[int], capacity: int, seed: int, population: int = 4, generations: int = 8, waste: float = WASTE, own: Bins | None = None, migrants: Bins | None = None) -> Bins:
+    """The fittest packing after ``generations`` crossovers, or the first that meets the lower bound of bins.
+
+    ``own`` is a packing of an earlier epoch, ``migrants`` are bins of another island to be injected into it.
+    """
     rng, least = random.Random(seed), -(-sum(sizes) // capacity)
-    living = [_start(sizes, capacity, rng, noise) for noise in (0.0, 0.02, 0.1, 0.3)[:population]]
+    living = [] if own is None else [own]
+    if own is not None and migrants is not None and migrants.items and len(own.free) > least:
+        living.append(_cross(own, migrants, sizes, rng, waste))
+    for noise in (0.0, 0.02, 0.1, 0.3)[: population - (own is not None)]:
+        if living and min(len(x.free) for x in living) <= least:
+            return min(living, key=lambda s: len(s.free))  # no packing has fewer bins
+        living.append(_start(sizes, capacity, rng, noise))
     rank = lambda s: (len(s.free), -s.fitness())
     for _ in range(generations):
         living.sort(key=rank)
@@ -177,41 +189,75 @@ def evolve(sizes: list[int], capacity: int, seed: int, population: int = 4, gene
     return min(living, key=rank)
 
 
-def _island(capacity: int, waste: float, number: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        sizes, island = part["length"].tolist(), int(part["island"].iloc[0])
-        bins = evolve(sizes, capacity, island * 31 + number)
+STATE = PIECES + ", row long, deme long, island int, source int, bin long, offset long, elite boolean, bins long, waste double"
+
+
+def _packed(bins_of: dict[int, list[int]], sizes: list[int], capacity: int) -> Bins:
+    bins = Bins(capacity)
+    for _, items in sorted(bins_of.items()):
+        bins.add(items, capacity - sum(sizes[i] for i in items))
+    return bins
+
+
+def _island(capacity: int, waste: float, number: int, epoch: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        deme, island = int(rows["deme"].iloc[0]), int(rows["island"].iloc[0])
+        mine = rows[rows["source"] == island].sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        sizes, own, migrants = mine["length"].tolist(), None, None
+        if epoch:
+            place = {row: i for i, row in enumerate(mine["row"].tolist())}
+            held, came = {}, {}
+            for row, b in zip(mine["row"].tolist(), mine["bin"].tolist(), strict=True):
+                held.setdefault(b, []).append(place[row])
+            others = rows[rows["source"] != island]
+            for row, b in zip(others["row"].tolist(), others["bin"].tolist(), strict=True):
+                came.setdefault(b, []).append(place[row])
+            own, migrants = _packed(held, sizes, capacity), _packed(came, sizes, capacity)
+        bins = evolve(sizes, capacity, ((deme * ISLANDS + island) * EPOCHS + epoch) * 31 + number, waste=waste, own=own, migrants=migrants)
         bin_of, offset, elite = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         for b, items in enumerate(bins.items):
-            at, settled = 0, last or bins.free[b] <= waste * capacity
+            at, good = 0, bins.free[b] <= waste * capacity
             for i in items:
-                bin_of[i], offset[i], elite[i] = b, at, settled
+                bin_of[i], offset[i], elite[i] = b, at, good
                 at += sizes[i]
-        return part.drop(columns="island").assign(sequence_id=(number << 58) + (island << 24) + bin_of, offset=offset, elite=elite)
+        return mine.assign(bin=bin_of, offset=offset, elite=elite, bins=len(bins.items), waste=-bins.fitness())
 
     return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, rounds: int = ROUNDS, waste: float = WASTE) -> DataFrame:
+def _evolved(dealt: DataFrame, capacity: int, waste: float, number: int) -> DataFrame:
+    """The best island's packing of every deme: ``dealt`` with bin, offset and elite."""
+    state = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+    state = state.withColumns({"source": F.col("island"), "bin": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "elite": F.lit(False), "bins": F.lit(0).cast("long"), "waste": F.lit(0.0)})
+    names = [c.split(" ")[0] for c in STATE.split(", ")]
+    for epoch in range(EPOCHS):
+        out = saved(state.select(*names).groupBy("deme", "island").applyInPandas(_island(capacity, waste, number, epoch), STATE), f"islands{number}")
+        if epoch:
+            discard(held)
+        held = out
+        state = out.unionByName(out.where("elite").withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
+    best = held.groupBy("deme").agg(F.min(F.struct("bins", "waste", "island")).alias("best")).select("deme", F.col("best.island").alias("island"))
+    return saved(held.join(best, ["deme", "island"]).drop("island", "source", "bins", "waste"), f"best{number}")
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, deme: int = DEME, rounds: int = ROUNDS, waste: float = WASTE) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    whole = pieces.where(F.col("length") == capacity).withColumns({
-        "sequence_id": F.monotonically_increasing_id() + F.lit(1 << 60), "offset": F.lit(0).cast("long"), "elite": F.lit(True)})
+    pieces = saved(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row") + F.lit(1 << 60), "offset": F.lit(0).cast("long"), "elite": F.lit(True)}).drop("row")
     rest, done = pieces.where(F.col("length") < capacity), whole
     for number in range(1, rounds + 1):
-        islands = max(1, -(-rest.count() // island))
-        last = number == rounds or islands == 1
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(number)), F.lit(islands)).cast("long"))
-        out = dealt.groupBy("island").applyInPandas(_island(capacity, waste, number, last), PIECES + ", sequence_id long, offset long, elite boolean")
-        out = saved(out, f"islands{number}")
-        done = done.unionByName(out.where("elite"))
+        demes = max(1, -(-rest.count() // deme))
+        last = number == rounds or demes == 1
+        out = _evolved(rest.withColumn("deme", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(demes)).cast("long")), capacity, waste, number)
+        named = out.withColumn("sequence_id", F.lit(number << 58) + F.col("deme") * (1 << 24) + F.col("bin"))
+        done = done.unionByName((named if last else named.where("elite")).select(*done.columns))
         if last:
             break
-        rest = out.where("NOT elite").drop("sequence_id", "offset", "elite")
+        rest = out.where("NOT elite").select(*pieces.columns)
     return done.drop("elite")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pack_pieces(saved(texts.mapInArrow(_pieces(path, capacity), PIECES), "pieces"), capacity)
+    return pack_pieces(texts.mapInArrow(_pieces(path, capacity), PIECES), capacity)

@@ -65,14 +65,15 @@ class Coder:
         while at < len(texts):
             if len(self.codes) > TABLE_WORDS:
                 self.clear()
-            codes, ends, chars = [], [], 0
+            codes, ends, chars = [], [], 0  # arrays of codes by text, and their sizes
             while at < len(texts) and (not ends or chars + len(texts[at]) <= CHUNK_CHARS):
-                codes += map(self.codes.__getitem__, self.cut(texts[at]))
-                ends.append(len(codes))
+                words = self.cut(texts[at])
+                codes.append(np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words)))
+                ends.append(len(words))
                 chars += len(texts[at])
                 at += 1
             self._learn()
-            code = np.array(codes, np.int64)
+            code = np.concatenate(codes)
             length = self.length[code]
             after = np.concatenate([[0], np.cumsum(length)])
-            yield gather(self.flat, self.first[code], length), after[np.array(ends, np.int64)]
+            yield gather(self.flat, self.first[code], length), after[np.cumsum(ends)]

@@ -109,6 +109,39 @@ def test_few_and_none(spark, vectors):
 
 def test_search_in_blocks(vectors):
     books, index = aq.build_index(vectors)
-    queries = index.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    queries = index.where("vec_id % 100 = 0").select("vec_id", "embedding", "row")
     whole, parts = (sorted(tuple(r) for r in aq.search(index, books, queries, block=b).collect()) for b in (1024, 4))
     assert whole == parts
+
+
+def test_recall_with_a_shortlist_of_a_large_batch(spark):
+    """20,000 vectors in one partition, of which 128 a query are reranked as they come: the quantiser has to find them."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(200, 24))
+    x = centre[rng.integers(0, 200, 20_000)] + 0.6 * rng.normal(size=(20_000, 24))
+    docs = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").coalesce(1)
+    books, index = aq.build_index(docs, sample=4000)
+    got = {}
+    for r in aq.search(index, books, index.where("vec_id % 200 = 0").select("vec_id", "embedding", "row"), shortlist=128).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 200):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / (10 * len(got)) >= 0.9
+
+
+def test_a_copy_of_the_query_row_is_a_candidate(spark):
+    v = [1.0, 2.0]
+    rows = spark.createDataFrame([(100, v), (100, v), (3, [1.0, 2.5])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in aq.nearest(rows).orderBy("rank").collect()] == [(100, 1, 100, 0.0), (100, 2, 3, 0.5)]
+
+
+def test_long_texts_count_features_first(monkeypatch):
+    text = "some words \U00010400\U00010401 and more of them " * 3000
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.FEATURES, 2)).astype(np.float32), np.zeros(2))
+    whole = model.logits(language_id.grams(text))
+    monkeypatch.setattr(language_id, "COUNTED", 1 << 60)
+    assert np.allclose(whole, model.logits(language_id.grams(text)), atol=1e-5)

@@ -132,8 +132,8 @@ def test_sharding(odd, empty, spark):
     assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 8 for _, t in odd_rows())
     assert sorted(r.text_crc32 for r in rows) == sorted(zlib.crc32((t or "").encode()) for _, t in odd_rows())
     docs = spark.range(5000).selectExpr("id doc_id", "CASE WHEN id % 3 = 0 THEN 'same text' ELSE repeat(cast(id AS string), 3) END text")
-    for above, together in ((1.0, True), (0.01, False)):
-        rows = sharding.shard(docs, shards=2 if together else 8, split_above=above, rows_per_bucket=100).collect()
+    for together in (True, False):
+        rows = sharding.shard(docs, shards=2 if together else 8, rows_per_bucket=100).collect()
         slots, sizes, same = {}, {}, set()
         for r in rows:
             slots.setdefault(r.shard, []).append(r.slot)
@@ -183,3 +183,14 @@ def test_masks_merge_overlaps(spark):
                 want += r.text[at:s] + "#" if s >= at else ""
                 at = e
         assert r.got == want + r.text[at:]
+
+
+def test_shards_are_near_equal_with_large_groups(spark):
+    """Groups of nearly a whole shard, more of them than shards have room for, and rows without doc_id."""
+    docs = spark.range(24_000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN concat('group ', (id div 3) % 11) ELSE repeat(cast(id AS string), 1 + id % 7) END AS text")
+    sizes, shards = {}, {}
+    for r in sharding.shard(docs).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+    assert sorted(sizes) == list(range(24)) and max(sizes.values()) < 1.03 * min(sizes.values())
+    assert sum(len(x) > 1 for x in shards.values()) <= 11

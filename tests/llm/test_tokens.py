@@ -101,7 +101,7 @@ def check_sequences(rows, capacity):
 
 def test_packing_in_rounds_is_tight(spark):
     pieces = spark.range(6000).selectExpr("id doc_id", "0 piece", "0L start", "cast(1 + pmod(xxhash64(id), 700) AS long) length", "id ids_crc32")
-    rows = packing.pack_pieces(pieces, 1000, island=500).collect()
+    rows = packing.pack_pieces(pieces, 1000, deme=500).collect()
     least = -(-sum(r.length for r in rows) // 1000)
     assert len(rows) == 6000 and check_sequences(rows, 1000) <= 1.01 * least + 1
 
@@ -111,3 +111,19 @@ def test_evolution_never_loses_pieces():
     bins = packing.evolve(sizes, 1000, 3)
     assert sorted(i for items in bins.items for i in items) == list(range(400))
     assert all(sum(sizes[i] for i in items) == 1000 - free for items, free in zip(bins.items, bins.free, strict=True))
+
+
+def test_demes_are_bounded_by_row(spark, monkeypatch):
+    """Pieces that repeat every column still spread over demes, and all are packed."""
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(6000).selectExpr("cast(null AS long) AS doc_id", "0 AS piece", "0L AS start", "100L + (id % 3) * 0 AS length", "7L AS ids_crc32").repartition(4)
+    largest = []
+    real = packing._evolved
+    monkeypatch.setattr(packing, "_evolved", lambda dealt, *a: largest.append(dealt.groupBy("deme").count().agg(F.max("count")).first()[0]) or real(dealt, *a))
+    rows = packing.pack_pieces(pieces, 1000, deme=500).collect()
+    assert max(largest) < 1000 and len(rows) == 6000
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.offset)
+    assert all(sorted(b) == [100 * i for i in range(len(b))] and len(b) <= 10 for b in bins.values()) and len(bins) <= 606
