@@ -47,6 +47,7 @@ class Simple:
     a: int = 0
     b: int = 0
     inner: tuple = ()
+    any_ns: bool = False
 
 
 @dataclass(frozen=True)
@@ -232,7 +233,7 @@ class _Reader:
         self.space()
         if self.peek() == "]":
             self.at += 1
-            return Simple("attr", name, "", flag="*" if any_ns else "")
+            return Simple("attr", name, "", any_ns=any_ns)
         op = next((o for o in ("=", "~=", "|=", "^=", "$=", "*=") if self.text.startswith(o, self.at)), None)
         if op is None:
             self.fail("unexpected_token_in_attribute_selector" if self.peek() else "end_of_input")
@@ -262,7 +263,7 @@ class _Reader:
             self.at += 1
         elif self.peek():
             self.fail("unexpected_token_in_attribute_selector")
-        return Simple("attr", name, op, value, flag)
+        return Simple("attr", name, op, value, flag, any_ns=any_ns)
 
     def pseudo(self, inside: str) -> Simple:
         start = self.at
@@ -345,6 +346,8 @@ class Matcher:
 
     def __init__(self) -> None:
         self.places: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+        self.siblings: dict[int, list[Node]] = {}
+        self.held: dict[tuple[int, int, int], dict] = {}
 
     def place(self, e: Node) -> tuple[int, int, int, int]:
         """Position among siblings from either end, and among those of its type."""
@@ -360,7 +363,7 @@ class Matcher:
             for i, n in enumerate(all_):
                 k = seen[n.tag, n.ns] = seen.get((n.tag, n.ns), 0) + 1
                 held[id(n)] = (i + 1, len(all_) - i, k, counts[n.tag, n.ns] - k + 1)
-            self.places[id(parent)] = held
+            self.places[id(parent)], self.siblings[id(parent)] = held, all_
         return held[id(e)]
 
     def any(self, selectors: tuple[Complex, ...], e: Node) -> bool:
@@ -372,19 +375,38 @@ class Matcher:
         if i == len(s.combinators):
             return True
         how = s.combinators[i]
-        if how in " >":
-            up = e.parent
-            while up is not None:
-                if up.kind == "element" and self.complex(s, up, i + 1, anchor):
-                    return True
-                if how == ">":
-                    return False
-                up = up.parent
+        if how == ">":
+            return e.parent is not None and e.parent.kind == "element" and self.complex(s, e.parent, i + 1, anchor)
+        held = self.held.setdefault((id(s), i, id(anchor)), {})
+        if how == " ":
+            return self.above(s, e, i, anchor, held)
+        at = self.place(e)[0] - 1
+        if not at or e.parent is None:
             return False
-        before = [] if e.parent is None else e.parent.child_elements()
-        at = next((k for k, n in enumerate(before) if n is e), 0)
-        tried = before[max(at - 1, 0) : at] if how == "+" else reversed(before[:at])
-        return any(self.complex(s, n, i + 1, anchor) for n in tried)
+        before = self.siblings[id(e.parent)]
+        if how == "+":
+            return self.complex(s, before[at - 1], i + 1, anchor)
+        first, tried = held.get(id(e.parent), (None, 0))  # the first sibling that matches, and how many were tried
+        while first is None and tried < at:
+            first = tried if self.complex(s, before[tried], i + 1, anchor) else None
+            tried += 1
+        held[id(e.parent)] = first, tried
+        return first is not None and first < at
+
+    def above(self, s: Complex, e: Node, i: int, anchor: Node | None, held: dict) -> bool:
+        """Whether some ancestor of ``e`` matches; each ancestor is asked once."""
+        passed, found = [], False
+        up = e
+        while not found and up.parent is not None and up.parent.kind == "element":
+            if (known := held.get(id(up))) is not None:
+                found = known
+                break
+            passed.append(up)
+            up = up.parent
+            found = self.complex(s, up, i + 1, anchor)
+        for n in passed:
+            held[id(n)] = found
+        return found
 
     def simple(self, c: Simple, e: Node, anchor: Node | None) -> bool:
         kind = c.kind
@@ -399,7 +421,7 @@ class Matcher:
         if kind == "attr":
             name = lower(c.name) if e.ns == HTML else c.name
             value = e.attrs.get(name)
-            if value is not None and e.names and name in e.names and c.flag != "*":
+            if value is not None and e.names and name in e.names and not c.any_ns:
                 return False
             want = c.value
             if value is not None and (c.flag == "i" or c.flag != "s" and e.ns == HTML and name in FOLDED):

@@ -7,6 +7,7 @@ parenting or the adoption agency; selectors list their candidates by it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 HTML, SVG, MATHML = "html", "svg", "math"
@@ -116,13 +117,30 @@ class Document:
 
 def copied(node: Node) -> Node:
     """A detached copy of a subtree."""
-    out = Node(node.kind, node.number, node.tag, node.text, node.ns, dict(node.attrs))
-    out.names, out.flag = node.names, node.flag
-    for child in node.children:
-        out.append(copied(child))
+    out, todo = None, [(node, None)]
+    while todo:
+        n, parent = todo.pop()
+        copy = Node(n.kind, n.number, n.tag, n.text, n.ns, dict(n.attrs))
+        copy.names, copy.flag = n.names, n.flag
+        if parent is None:
+            out = copy
+        else:
+            parent.append(copy)
+        todo.extend((c, copy) for c in reversed(n.children))
     return out
 
 
+def roomy(node: Node) -> None:
+    """Let recursive renderers go as deep as the subtree of ``node``; Python's own frames need no more of the C stack."""
+    deepest, todo = 0, [(node, 1)]
+    while todo:
+        n, depth = todo.pop()
+        deepest = max(deepest, depth)
+        todo.extend((c, depth + 1) for c in n.children if c.children)
+    if deepest > 100:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 8 * deepest))
+
+
 def qualified(node: Node, name: str) -> str:
     return (node.names or {}).get(name, name)
 
@@ -135,30 +153,26 @@ def escaped(text: str, attribute: bool = False) -> str:
 def serialized(node: Node, inner: bool = False) -> str:
     """The markup of a node, or of its children alone; attributes sorted by name."""
     out: list[str] = []
-
-    def write(n: Node) -> None:
-        if n.kind == "text":
+    todo: list[Node | str] = list(reversed(node.children)) if inner else [node]  # markup that is due, and nodes
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.kind == "text":
             raw = n.parent is not None and n.parent.kind == "element" and n.parent.ns == HTML and n.parent.tag in RAW_TEXT
             out.append(n.text if raw else escaped(n.text))
         elif n.kind == "element":
             attrs = "".join(f' {q}="{escaped(v, True)}"' for q, v in sorted((qualified(n, k), v) for k, v in n.attrs.items()))
             out.append(f"<{n.tag}{attrs}>")
-            if n.ns == HTML and n.tag in VOID:
-                return
-            below(n)
-            out.append(f"</{n.tag}>")
+            if n.ns != HTML or n.tag not in VOID:
+                todo.append(f"</{n.tag}>")
+                todo.extend(reversed(n.children))
         elif n.kind == "comment":
             out.append(f"<!--{n.text}-->")
         elif n.kind == "doctype":
             out.append(f"<!DOCTYPE {n.text}>")
         else:
-            below(n)
-
-    def below(n: Node) -> None:
-        for child in n.children:
-            write(child)
-
-    below(node) if inner else write(node)
+            todo.extend(reversed(n.children))
     return "".join(out)
 
 

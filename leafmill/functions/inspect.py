@@ -13,7 +13,7 @@ from functools import cached_property
 
 from . import css, urls
 from .chrome import SILENT, Signals, heading_level, squeezed
-from .dom import Document, Node, path_of, serialized
+from .dom import Document, Node, path_of, roomy, serialized
 from .extract import parsed
 from .html_parser import parse_fragment
 from .html_tokens import lower
@@ -421,16 +421,15 @@ def visible_chars(document: Document) -> int:
     top = document.first("body") or document.html() or document.root
     parts: list[str] = []
 
-    def add(n: Node) -> None:
-        for c in n.children:
-            if c.kind == "text":
-                parts.append(squeezed(c.text))
-            elif c.kind == "element" and c.tag == "img":
-                parts.append(squeezed(c.attrs.get("alt", "")))
-            elif c.kind != "element" or c.tag not in SILENT:
-                add(c)
-
-    add(top)
+    todo = list(reversed(top.children))
+    while todo:
+        c = todo.pop()
+        if c.kind == "text":
+            parts.append(squeezed(c.text))
+        elif c.kind == "element" and c.tag == "img":
+            parts.append(squeezed(c.attrs.get("alt", "")))
+        elif c.kind != "element" or c.tag not in SILENT:
+            todo.extend(reversed(c.children))
     return len(" ".join(p for p in parts if p))
 
 
@@ -441,6 +440,7 @@ def most(counts: Counter, limit: int) -> list[dict]:
 def inspect(html: str, input_base_url: str | None = None, limit: int = SAMPLES) -> dict:
     """The summary of one document; the base as in extraction, nothing sampled for a limit of 0."""
     document = parsed(html)
+    roomy(document.root)
     shown = urls.redacted(input_base_url) if input_base_url else None
     base = urls.effective_base(document, shown)
     run = Inspector(document, base)

@@ -41,7 +41,12 @@ def complaint(plan: dict) -> str | None:
     if not prefix or kind != "plan" or plan.get("schema_version") != VERSIONS["plan"]:
         return f"unsupported plan schema {plan.get('schema_name')}@{plan.get('schema_version')}"
     strategy, output = plan.get("strategy", {}), plan.get("output", {})
+    if not isinstance(strategy, dict) or not isinstance(output, dict):
+        return "strategy and output must be objects"
     by_css = strategy.get("kind") == "css_selector"
+    for field in ("kind", "selector") if by_css else ("kind", "start", "end"):
+        if not isinstance(strategy.get(field), str):
+            return f"strategy needs a text {field}"
     if output.get("kind") not in OUTPUTS:
         return f"unknown output kind {output.get('kind')}"
     if not by_css and strategy.get("mode") == "literal" and strategy.get("flags"):
@@ -81,7 +86,8 @@ class Sealed:
         self.plan = json.loads(plan) if isinstance(plan, str) else plan
         self.prefix = str(self.plan.get("schema_name", "")).rpartition(".")[0]
         self.digest, self.wrong = digest(self.plan), complaint(self.plan)
-        self.kind = self.plan.get("strategy", {}).get("kind")
+        strategy = self.plan.get("strategy", {})
+        self.kind = strategy.get("kind") if isinstance(strategy, dict) else None
         self.compiled = None if self.wrong else Plan(request_of(self.plan))
 
     def _seal(self, kind: str, body: dict) -> dict:

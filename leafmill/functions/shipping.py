@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from pathlib import Path
-from zipfile import PyZipFile
+from zipfile import ZIP_DEFLATED, ZipFile
 
 from pyspark.sql import SparkSession
 
@@ -17,8 +17,9 @@ def ship(spark: SparkSession) -> SparkSession:
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         path = Path(tempfile.mkdtemp(prefix="leafmill-code-")) / f"{package.name}.zip"
-        with PyZipFile(str(path), "w") as archive:
-            archive.writepy(str(package))
+        with ZipFile(path, "w", ZIP_DEFLATED) as archive:  # sources alone: the package may lie where nothing can be written
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
         context.addPyFile(str(path))
         _shipped.add(context.applicationId)
     return spark

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from .chrome import CAPTION, SILENT, Signals, heading_level, joins_with_space, squeezed
-from .dom import Document, Node, copied
+from .dom import Document, Node, copied, roomy
 from .urls import meaningful
 
 # Elements that stand on lines of their own.
@@ -276,7 +276,7 @@ class Writer:
         parts = e.child_elements()
         if e.tag not in ("div", "section") or len(parts) != 2 or any(c.kind == "text" and c.text.strip() for c in e.children):
             return None
-        left, right = (compact(self.aside(c, pre), " ") for c in parts)
+        left, right = [compact(self.aside(c, pre), " ") for c in parts]
         good = left and right and left.endswith(":") and len(left) <= 60 and len(right) <= 160 and "|" not in left + right
         return f"{left} {right}" if good else None
 
@@ -316,6 +316,7 @@ def captioned(e: Node, signals: Signals) -> bool:
 
 
 def heading_text(e: Node, signals: Signals) -> str | None:
+    roomy(e)
     out = Writer(signals)
 
     def add(n: Node, pre: bool) -> None:
@@ -394,6 +395,7 @@ def math_text(e: Node) -> str | None:
 
 def element_text(e: Node, mode: str) -> str:
     """The text of a selected element."""
+    roomy(e)
     out = Writer(Signals(), e)
     out.node(e)
     return finished(out.text, mode)
@@ -402,6 +404,7 @@ def element_text(e: Node, mode: str) -> str:
 def body_text(document: Document, mode: str, reader: bool) -> str:
     """The text of a document's body; unless for a reader, its top elements are exempt from furniture rules."""
     top = document.first("body") or document.html() or document.root
+    roomy(top)
     out = Writer(Signals())
     out.spared = set() if reader else {id(c) for c in top.children}
     out.below(top, stop=True)
@@ -409,6 +412,7 @@ def body_text(document: Document, mode: str, reader: bool) -> str:
 
 
 def children_text(e: Node, mode: str) -> str:
+    roomy(e)
     out = Writer(Signals())
     out.below(e, stop=True)
     return finished(out.text, mode)

@@ -21,9 +21,15 @@ _FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _attribute(c: Simple) -> Column:
-    name = lower(c.name)
+    here = F.col("ns") == "html"
+    if lower(c.name) != c.name or c.flag == "" and c.op and lower(c.name) in FOLDED:  # html folds these, other namespaces do not
+        return F.when(here, _compared(c, lower(c.name), True)).otherwise(_compared(c, c.name, False))
+    return _compared(c, c.name, True)
+
+
+def _compared(c: Simple, name: str, html: bool) -> Column:
     value, want = F.col("attrs")[name], c.value
-    if c.flag == "i" or c.flag != "s" and name in FOLDED:
+    if c.flag == "i" or c.flag != "s" and html and name in FOLDED:
         value, want = F.translate(value, *_FOLD), lower(want)
     if c.op == "":
         return value.isNotNull()

@@ -10,6 +10,7 @@ from ..functions import sql
 from ..functions.extract import Output, Request, Selection
 from ..operators import corpus, relational
 from ..operators import selection as sel
+from ..sources.tables import kept
 from .slice_queries import html, pages
 
 ALL = Selection("all")
@@ -65,7 +66,7 @@ def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every link of every page; the SQL holds only those whose href is ASCII or '/für'."""
+    """Every link of every page."""
     docs = pages(spark, sf_dir).select("page_id", "url", "html")
     return corpus.links(docs, base_url="url").select("page_id", "link_index", "href", "resolved")
 
@@ -75,7 +76,7 @@ def link_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tags of each page; the SQL holds eleven of them."""
+    """All tags of each page. No SQL: elements that the tree builder repeats (``b`` left open) are not in the markup."""
     return sel.histogram(corpus.parse_nodes(html(spark, sf_dir), paths=False), ["page_id"])
 
 
@@ -84,13 +85,13 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tags of the whole corpus: documents that have them, and elements; the SQL holds ten of them."""
+    """All tags of the whole corpus: documents that have them, and elements. No SQL, as for one page."""
     counts = sel.histogram(corpus.parse_nodes(html(spark, sf_dir), paths=False), ["page_id"])
     return counts.groupBy("tag").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("count").alias("n_elements"))
 
 
 def _relational(spark: SparkSession, sf_dir: str, selector: str) -> DataFrame:
-    nodes = corpus.parse_nodes(html(spark, sf_dir), paths=True)
+    nodes = kept(corpus.parse_nodes(html(spark, sf_dir), paths=True).where("kind = 'element'"), "nodes")  # parsed once, whatever the selector joins
     found = sel.numbered(relational.select(nodes, selector, ["page_id"]), ["page_id"])
     return found.select("page_id", "candidate_index", "candidate_count", "path")
 
@@ -210,11 +211,9 @@ ORACLES = {
     "select_missing_attr_diag": f"SELECT page_id, 'MISSING_ATTRIBUTE' AS code, 'Matched node is missing attribute \"title\".' AS message FROM ({_LINKS}) WHERE link_index = 1",
     "invalid_selector_diag": "SELECT page_id, 'error' AS level, 'INVALID_SELECTOR' AS code, 'CSS selector is invalid.' AS message, '{\"selector_parse\":{\"column_utf16\":2,\"line\":1,\"parse_error_class\":\"unsupported_pseudo_class_or_element\"}}' AS details FROM pages",
     "doc_title": f"SELECT page_id, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS document_title FROM pages",
-    "link_resolve": f"SELECT page_id, link_index, href, regexp_extract(url, '^https?://[^/?#]*') || replace(href, 'ü', '%C3%BC') AS resolved FROM ({_LINKS}) WHERE href = '/für' OR NOT regexp_matches(href, '[^\\x00-\\x7f]')",
+    "link_resolve": f"SELECT page_id, link_index, href, regexp_extract(url, '^https?://[^/?#]*') || array_to_string(list_transform(string_split(href, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE url_encode(c) END), '') AS resolved FROM ({_LINKS})",
     "link_labels": f"SELECT page_id, link_index, trim(regexp_replace({_plain('label')}, '\\s+', ' ', 'g')) AS label FROM ({_LINKS})",
-    "tag_histogram": "SELECT page_id, tag, count(*) AS count FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '<([a-z0-9]+)', 1)) AS tag FROM pages) WHERE tag IN ('li', 'a', 'h1', 'title', 'nav', 'footer', 'article', 'style', 'script', 'meta', 'ul') GROUP BY ALL",
     "class_histogram": "SELECT page_id, c AS class, count(*) AS count FROM (SELECT page_id, unnest(regexp_extract_all(html, ' class=\"([^\"]*)\"', 1)) AS c FROM pages) GROUP BY ALL",
-    "corpus_tags": "SELECT tag, count(*) AS n_documents, sum(n)::BIGINT AS n_elements FROM (SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) WHERE tag IN ('li', 'a', 'h1', 'title', 'nav', 'footer', 'article', 'head', 'body', 'html') GROUP BY ALL) GROUP BY tag",
     "relational_nav_links": f"SELECT page_id, ((link_index + 1) // 2)::BIGINT AS candidate_index, ((max(link_index) OVER (PARTITION BY page_id) + 1) // 2)::BIGINT AS candidate_count, {_PATH}nav:nth-of-type(1) > ul:nth-of-type(1) > li:nth-of-type(' || link_index || ') > a:nth-of-type(1)' AS path FROM ({_LINKS}) WHERE link_index % 2 = 1",
     "relational_siblings": f"SELECT page_id, c AS candidate_index, 3::BIGINT AS candidate_count, p AS path FROM pages, (VALUES (1::BIGINT, 'html:nth-of-type(1) > head:nth-of-type(1) > title:nth-of-type(1)'), (2, {_PATH}article:nth-of-type(1)'), (3, {_PATH}article:nth-of-type(1) > h1:nth-of-type(1)')) v(c, p)",
     "relational_not_has": f"SELECT page_id, 1::BIGINT AS candidate_index, 1::BIGINT AS candidate_count, {_PATH}div:nth-of-type(1)' AS path FROM pages",

@@ -1,4 +1,4 @@
-"""Queries whose SQL holds only some of the rows, against brute force over all of them."""
+"""Queries without SQL, or whose SQL is not plain, against brute force over all rows."""
 
 import re
 from collections import Counter
@@ -28,8 +28,7 @@ def test_link_resolve_returns_every_link(spark, sf_dir, db):
     got = sorted(tuple(r) for r in registry.queries()["link_resolve"](spark, sf_dir).select("page_id", "link_index", "href", "resolved").collect())
     assert got == sorted(want)
     assert any(not h.isascii() and h != "/für" for _, _, h, _ in got)
-    some = db.execute(f"SELECT page_id, link_index, href, resolved FROM ({registry.oracle_sql()['link_resolve']})").fetchall()
-    assert set(some) < set(got) and all(h.isascii() or h == "/für" for _, _, h, _ in some)
+    assert sorted(db.execute(f"SELECT page_id, link_index, href, resolved FROM ({registry.oracle_sql()['link_resolve']})").fetchall()) == got
 
 
 class Tags(HTMLParser):
@@ -54,6 +53,3 @@ def test_histograms_hold_every_tag(spark, sf_dir, db):
     whole = {r.tag: (r.n_documents, r.n_elements) for r in registry.queries()["corpus_tags"](spark, sf_dir).collect()}
     assert whole == {tag: (sum(tag in c for c in pages.values()), sum(c[tag] for c in pages.values())) for tag in set().union(*pages.values())}
     assert {"p", "b", "br", "div", "html", "meta"} <= set(whole)
-    for name, mine in (("tag_histogram", {(*k, n) for k, n in got.items()}), ("corpus_tags", {(k, *n) for k, n in whole.items()})):
-        cols = "page_id, tag, count" if name == "tag_histogram" else "tag, n_documents, n_elements"
-        assert set(db.execute(f"SELECT {cols} FROM ({registry.oracle_sql()[name]})").fetchall()) < mine
