@@ -53,7 +53,7 @@ def slices(docs: DataFrame, start: str, end: str, source: str = "html", regex: b
     opened = F.regexp_instr(rest, F.lit(f"{mode}{a}"))
     names = [c for c in docs.columns if c != source]
     out = cut.select(*names, found.alias("_f"), F.when(opened > 0, size(F.substring(rest, F.lit(1), opened - 1))).alias("_d"))
-    return out.select(*names, F.col("_f").alias("slices"), (F.coalesce(F.element_at("_f", -1)["outer_end"], F.lit(0)) + F.col("_d")).alias("dangling"))
+    return out.select(*names, F.col("_f").alias("slices"), (F.coalesce(F.try_element_at("_f", F.lit(-1))["outer_end"], F.lit(0)) + F.col("_d")).alias("dangling"))
 
 
 def slice_rows(docs: DataFrame, start: str, end: str, source: str = "html", regex: bool = False, flags: str = "") -> DataFrame:
