@@ -21,9 +21,11 @@ FOLDS, HELD_OUT = 4, 2
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset on one machine (tests), an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -72,6 +74,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(doc_id: Column, text_key: Column) -> Column:
+    """Names a row by its doc_id and text, never null, so that joins need no null-safe comparison."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text_key.cast("string"))
+
+
+def without_marked(docs: DataFrame, key: Column, marked: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``marked`` (key, stays), but for one row of each key that stays.
+
+    The marks grow with the input, so they are merged with the documents at every size and never broadcast.
+    """
+    mine = fresh(docs, "_key")
+    told, marked = docs.withColumn(mine, key), marked.withColumnRenamed("key", mine)
+    left = told.join(marked.select(mine).hint("merge"), mine, "left_anti")
+    if marked.where("stays").limit(1).count():
+        left = left.unionByName(told.join(marked.where("stays").select(mine).hint("merge"), mine, "left_semi").dropDuplicates([mine]))
+    return left.drop(mine)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; rows without a doc_id count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))

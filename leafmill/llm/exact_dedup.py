@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, saved
+from .common import row_key, saved, without_marked
 
 SAME = ["digest", "bytes", "check"]
 
@@ -79,14 +79,11 @@ def dedup(docs: DataFrame, fan: int = 4, bits: int | None = None) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with exactly one row of each text: the largest doc_id, any one of rows that repeat it; columns as they are."""
-    each = dedup(docs).groupBy(F.col("doc_id").alias("_named"), F.col("text_sha256").alias("_text"), F.col("keep_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_n"))
-    stays = F.col("_named").eqNullSafe(F.col("_keep"))
-    marked = saved(each.select("_named", "_text", stays.alias("_stays"), "_n").where("NOT _stays OR _n > 1").drop("_n"), "marked")
-    mine = fresh(docs, "_sha")
-    told = docs.withColumn(mine, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("_named")) & (F.col(mine) == F.col("_text"))
-    repeated = told.join(marked.where("_stays").drop("_stays"), same, "left_semi").dropDuplicates([mine])
-    return told.join(marked.drop("_stays"), same, "left_anti").unionByName(repeated).drop(mine)
+    each = dedup(docs).groupBy("doc_id", "text_sha256", "keep_id").agg(F.count(F.lit(1)).alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    marked = saved(each.where(~stays | (F.col("n") > 1)).select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"), stays.alias("stays")), "marked")
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    return without_marked(docs, row_key(F.col("doc_id"), sha), marked)
 
 
 ORACLE = """

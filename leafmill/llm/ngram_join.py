@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import COUNT_ROWS, bucketed, count_rows, discard, fresh, release, saved, summed
+from .common import COUNT_ROWS, bucketed, count_rows, discard, release, row_key, saved, summed, without_marked
 from .components import components
 from .shingles import WORDS, set_key, shingle_sets
 
@@ -413,10 +413,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     Empty sets link with nothing: all their rows stay.
     """
     stays = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
-    each = _rows(docs, words, percent).where("n > 0").groupBy(F.col("doc_id").alias("_named"), F.col("text_key").alias("_keyed")).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n"))
-    marked = saved(each.where("NOT _stays OR _n > 1").drop("_n"), "marked")
-    mine, key = fresh(docs, "_id"), fresh(docs, "_key")
-    told = docs.withColumns({mine: F.col("doc_id").cast("long"), key: _text_key(F.col("text"))})
-    same = F.col(mine).eqNullSafe(F.col("_named")) & (F.col(key) == F.col("_keyed"))
-    repeated = told.join(marked.where("_stays").drop("_stays"), same, "left_semi").dropDuplicates([mine, key])
-    return told.join(marked.drop("_stays"), same, "left_anti").unionByName(repeated).drop(mine, key)
+    each = _rows(docs, words, percent).where("n > 0").groupBy("doc_id", "text_key").agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = saved(each.where("NOT stays OR n > 1").select(row_key(F.col("doc_id"), F.col("text_key")).alias("key"), "stays"), "marked")
+    return without_marked(docs, row_key(F.col("doc_id").cast("long"), _text_key(F.col("text"))), marked)
