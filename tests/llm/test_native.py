@@ -194,3 +194,20 @@ def test_shards_are_near_equal_with_large_groups(spark):
         shards.setdefault(r.text_crc32, set()).add(r.shard)
     assert sorted(sizes) == list(range(24)) and max(sizes.values()) < 1.03 * min(sizes.values())
     assert sum(len(x) > 1 for x in shards.values()) <= 11
+
+
+@pytest.mark.parametrize("kind", sorted(pii.PROPOSED))
+def test_proposals_never_seen(kind):
+    precision, recall = pii.measured(kind)
+    assert precision >= 0.95 and recall >= 0.9
+
+
+@pytest.mark.parametrize("kind", sorted(pii.PROPOSED))
+def test_features_agree_with_columns(spark, kind, monkeypatch):
+    seen = []
+    real = pii._features
+    monkeypatch.setattr(pii, "_features", lambda *a: seen.append(a) or real(*a))
+    x, _ = pii._synthetic(kind, 80)
+    docs = spark.createDataFrame([(i, m, before, after) for i, (m, before, after, _) in enumerate(seen)], "i int, m string, before string, after string")
+    got = docs.select("i", F.array(*pii._feature_columns(F.col("m"), F.col("before"), F.col("after"), kind)).alias("f")).orderBy("i").collect()
+    assert [r.f for r in got] == x.tolist()
