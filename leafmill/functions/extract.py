@@ -148,10 +148,10 @@ class Plan:
             except slices.PatternError as e:
                 self.error = diagnostic("error", "INVALID_SLICE_PATTERN", e.message, e.details)
 
-    def run(self, html: str | None, base_url: str | None = None, label: str = "memory") -> dict:
-        """The result of one document."""
+    def run(self, html: str | None, base_url: str | None = None, label: str = "memory", size: int | None = None) -> dict:
+        """The result of one document; ``size`` in bytes where the text itself was held back."""
         request, html = self.request, html or ""
-        size = len(html.encode("utf-8", "replace"))
+        size = len(html.encode("utf-8", "replace")) if size is None else size
         shown = urls.redacted(base_url) if base_url else None
         out = {
             "operation_id": request.operation, "ok": False, "document_title": None, "candidate_count": 0, "match_count": 0, "matches": [], "diagnostics": [],

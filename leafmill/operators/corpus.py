@@ -18,8 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import urls
 from ..functions.css import Matcher
-from ..functions.dom import HTML, Document, path_of
-from ..functions.extract import Plan, Request, parsed
+from ..functions.dom import HTML, Document
+from ..functions.extract import MAX_BYTES, Plan, Request, byte_size, parsed
 from ..functions.inspect import inspect as inspect_one
 from ..functions.interop import Sealed, stable_json
 from ..functions.shipping import ship
@@ -47,6 +47,22 @@ def _batches(run: Callable[[dict], Iterator[dict]], schema: T.StructType) -> Cal
     return over
 
 
+def measured(docs: DataFrame, html: str, most: int, hold_back: bool = True) -> tuple[DataFrame, str]:
+    """``docs`` with the bytes of each document, counted before any Python, and the name of that column; texts over ``most`` do not cross."""
+    size, taken = "_bytes", {c.lower() for c in docs.columns}
+    while size in taken:
+        size = f"_{size}"
+    out = docs.withColumn(size, F.coalesce(F.octet_length(F.col(html).cast("string")), F.lit(0)))
+    return (out.withColumn(html, F.when(F.col(size) <= most, F.col(html))) if hold_back else out), size
+
+
+def oversized(docs: DataFrame, html: str = "html", max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The other columns, code, message and bytes_read of the documents over ``max_bytes``, with built-in functions alone."""
+    out, size = measured(docs, html, max_bytes)
+    said = F.lit(f"Preloaded source exceeds {byte_size(max_bytes)} limit.")
+    return out.where(F.col(size) > max_bytes).select(*[c for c in docs.columns if c != html], F.lit("SOURCE_LOAD_FAILED").alias("code"), said.alias("message"), F.col(size).cast("long").alias("bytes_read"))
+
+
 def _keys(docs: DataFrame, html: str, base: str | None) -> list[T.StructField]:
     return [f for f in docs.schema.fields if f.name not in (html, base)]
 
@@ -83,9 +99,11 @@ def multi_extract(docs: DataFrame, requests: Mapping[str, Request], html: str =
     def run(row: dict) -> Iterator[dict]:
         for name, request in compiled.items():
             plan = _plan(request)
-            yield {k: row[k] for k in names} | {"plan": name} | _flat(plan.run(row[html], row[base_url] if base_url else None))
+            yield {k: row[k] for k in names} | {"plan": name} | _flat(plan.run(row[html], row[base_url] if base_url else None, size=row[size]))
 
-    return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
+    most = max(r.max_bytes for r in compiled.values())
+    known, size = measured(docs, html, most, not any(r.output.include_source_text for r in compiled.values()))
+    return spread(known, partitions).mapInArrow(_batches(run, schema), schema)
 
 
 def _literal(plan: Plan) -> tuple:
@@ -143,7 +161,7 @@ def _sealed(text: str) -> Sealed:
 
 def node_rows(document: Document, paths: bool = True) -> list[dict]:
     """The nodes of a tree in document order with their interval, ordinals and paths."""
-    clock, out, rows, places = 0, [], {}, Matcher()
+    clock, out, rows, places, named = 0, [], {}, Matcher(), {}
     todo = [(document.root, 0, False)]
     while todo:
         n, depth, leaving = todo.pop()
@@ -156,17 +174,23 @@ def node_rows(document: Document, paths: bool = True) -> list[dict]:
                 "node_id": n.number, "parent_id": n.parent.number if n.parent is not None else None, "pre": clock, "post": None, "depth": depth, "kind": n.kind, "ns": n.ns if element else None,
                 "tag": n.tag or None, "attrs": sorted(n.attrs.items()) if element else None, "text": n.text if n.kind in ("text", "comment", "doctype") else None, "elem_ordinal": at[0], "elem_last": at[1],
                 "type_ordinal": at[2], "type_last": at[3], "is_empty": not any(c.kind == "element" or c.kind == "text" and c.text for c in n.children) if element else None,
-                "path": path_of(n) if element and paths else None,
+                "path": named.get(n.number) if element and paths else None,
             }
             out.append(rows[n.number])
             todo.append((n, depth, True))
             todo.extend((c, depth + 1, False) for c in reversed(n.children))
+            of_tag: dict[str, int] = {}
+            for c in n.children if paths else ():  # as path_of says, from the parent's path
+                if c.kind == "element":
+                    of_tag[c.tag] = of_tag.get(c.tag, 0) + 1
+                    named[c.number] = (f"{named[n.number]} > " if element else "") + f"{c.tag}:nth-of-type({of_tag[c.tag]})"
         clock += 1
     return out
 
 
-def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partitions: int | None = None) -> DataFrame:
-    """The node table: the other columns of ``docs`` and one row per node."""
+def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partitions: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The node table: the other columns of ``docs`` and one row per node; none for documents that :func:`oversized` tells."""
+    docs = docs.where(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) <= max_bytes)
     ship(docs.sparkSession)
     keys = _keys(docs, html, None)
     schema = T.StructType([*keys, *NODE.fields])
@@ -179,8 +203,9 @@ def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partiti
     return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
 
 
-def links(docs: DataFrame, html: str = "html", base_url: str | None = None, partitions: int | None = None) -> DataFrame:
-    """Every ``a[href]``: its number, link, absolute link and label."""
+def links(docs: DataFrame, html: str = "html", base_url: str | None = None, partitions: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Every ``a[href]``: its number, link, absolute link and label; none for documents that :func:`oversized` tells."""
+    docs = docs.where(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) <= max_bytes)
     ship(docs.sparkSession)
     keys = _keys(docs, html, base_url)
     schema = T.StructType([*keys, T.StructField("link_index", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("href", "resolved", "label")]])
@@ -196,17 +221,22 @@ def links(docs: DataFrame, html: str = "html", base_url: str | None = None, part
     return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
 
 
-def inspect(docs: DataFrame, html: str = "html", base_url: str | None = None, sample_limit: int = 8, partitions: int | None = None) -> DataFrame:
-    """The other columns of ``docs`` and a summary of each document."""
+def inspect(docs: DataFrame, html: str = "html", base_url: str | None = None, sample_limit: int = 8, partitions: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The other columns of ``docs`` and a summary of each document; of one over ``max_bytes`` only the diagnostic."""
     ship(docs.sparkSession)
     keys = _keys(docs, html, base_url)
     schema = T.StructType([*keys, *INSPECTION.fields])
     names = [f.name for f in keys]
 
     def run(row: dict) -> Iterator[dict]:
-        got = inspect_one(row[html] or "", row[base_url] if base_url else None, sample_limit)
+        if row[size] > max_bytes:
+            said = {"level": "error", "code": "SOURCE_LOAD_FAILED", "message": f"Preloaded source exceeds {byte_size(max_bytes)} limit.", "details": {"source": "memory", "kind": "memory", "maxBytes": max_bytes}}
+            got = {"diagnostics": [said]}
+        else:
+            got = inspect_one(row[html] or "", row[base_url] if base_url else None, sample_limit)
         for d in got["diagnostics"]:
             d["details"] = stable_json(d["details"])
         yield {k: row[k] for k in names} | got
 
-    return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
+    known, size = measured(docs, html, max_bytes)
+    return spread(known, partitions).mapInArrow(_batches(run, schema), schema)

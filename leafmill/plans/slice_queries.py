@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import corpus
 from ..operators import native_slices as ns
 from ..operators import selection as sel
 
@@ -97,9 +98,7 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def byte_limit_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over a size limit, told before any parsing."""
-    limit = 4096
-    over = html(spark, sf_dir).where(F.octet_length("html") > limit)
-    return over.select("page_id", F.lit("SOURCE_LOAD_FAILED").alias("code"), F.lit("Preloaded source exceeds 4 KiB limit.").alias("message"), F.octet_length("html").cast("long").alias("bytes_read"))
+    return corpus.oversized(html(spark, sf_dir).select("page_id", "html"), max_bytes=4096)
 
 
 def looks_like_document(spark: SparkSession, sf_dir: str) -> DataFrame:
