@@ -47,8 +47,8 @@ _odd = re.compile("[\u0300-\U0010ffff]|<\\|").search
 
 
 @cache
-def _word_pattern() -> Callable[[str], list[str]]:
-    l, n = classes(0x2FF)  # noqa: E741
+def _word_pattern(ascii_only: bool) -> Callable[[str], list[str]]:
+    l, n = ("a-z", "0-9") if ascii_only else classes(0x2FF)  # noqa: E741
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{l}]+|[{n}]|[^{SPACES}{l}{n}]+").findall
 
 
@@ -57,7 +57,9 @@ def _words(text: str) -> list[str]:
 
     Below U+0300 every text is in composed form and lower case does not depend on neighbours.
     """
-    return _chunks(text) if _odd(text) else _word_pattern()(text.lower())
+    if text.isascii():
+        return _chunks(text) if "<|" in text else _word_pattern(True)(text.lower())
+    return _chunks(text) if _odd(text) else _word_pattern(False)(text.lower())
 
 
 @cache
