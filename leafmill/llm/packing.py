@@ -20,6 +20,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import zlib
@@ -30,40 +31,48 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPACES, classes
 from .common import discard, saved
-from .words import Coder
+from .words import Coder, gather
 
 CAPACITY, END, DEME, ROUNDS = 2048, 0, 8192, 3
 ISLANDS, EPOCHS = 2, 2
 #: Bins with at most this share of waste are elites.
 WASTE = 0.004
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_chunks = re.compile("[^ \\t-\\r]+").findall  # words of the tokenizer never cross ASCII white space
-_odd = re.compile("[\u0300-\U0010ffff]|<\\|").search
+_odd = re.compile("[\u0300-\U0010ffff]").search
 
 
 @cache
 def _word_pattern(ascii_only: bool) -> Callable[[str], list[str]]:
     l, n = ("a-z", "0-9") if ascii_only else classes(0x2FF)  # noqa: E741
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{l}]+|[{n}]|[^{SPACES}{l}{n}]+").findall
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{l}]+|[{n}]|[^{SPACES}{l}{n}]+|\n").findall
 
 
-def _words(text: str) -> list[str]:
-    """The tokenizer's own words in lower case; chunks between white space where a character may need its normaliser.
+def _special(chunk: str) -> bool:
+    """Whether a chunk goes to the tokenizer as it is: it may hold a special token, or need the normaliser.
 
     Below U+0300 every text is in composed form and lower case does not depend on neighbours.
     """
-    if text.isascii():
-        return _chunks(text) if "<|" in text else _word_pattern(True)(text.lower())
-    return _chunks(text) if _odd(text) else _word_pattern(False)(text.lower())
+    return "<|" in chunk or not chunk.isascii() and _odd(chunk) is not None
+
+
+def _spaced(texts: pa.Array) -> pa.ListArray:
+    """The chunks of texts between ASCII white space, ASCII texts without special tokens in lower case.
+
+    Other texts keep their case: what follows a letter may compose with one case of it alone.
+    """
+    plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+    return pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
 
 
 @cache
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core: threads of its own cost more than they save
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -74,7 +83,10 @@ def _tokenizer(path: str):
 
 @cache
 def _coder(path: str) -> Coder:
-    """The worker's table of words and their ids: bounded, and shared by its tasks."""
+    """The worker's tables of chunks, of their words and of the ids: bounded, and shared by its tasks.
+
+    Only new chunks are cut into words, and only new words reach the tokenizer.
+    """
     t = _tokenizer(path)
 
     def resolve(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +94,34 @@ def _coder(path: str) -> Coder:
         n = np.array(list(map(len, found)), np.int64)
         return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
 
-    return Coder(_words, resolve)
+    return Coder(list, _by_words(Coder(list, resolve)))
+
+
+def _by_words(coder: Coder) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Chunks by their words, all cut at once: a line feed, which has no ids, ends each chunk."""
+
+    def resolve(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coder.shrink()
+        special = np.fromiter(map(_special, chunks), bool, len(chunks))
+        lines = "".join([c + "\n" for c, s in zip(chunks, special.tolist(), strict=True) if not s])
+        words = coder.codes_of(_word_pattern(lines.isascii())(lines.lower()))
+        whole = coder.codes_of([c for c, s in zip(chunks, special.tolist(), strict=True) if s])
+        counts = np.diff(np.flatnonzero(words == coder.codes["\n"]), prepend=-1)
+        ids, ends = coder.ids_of(np.concatenate([words, whole]), np.concatenate([counts, np.ones(len(whole), np.int64)]))
+        n = np.diff(ends, prepend=0)
+        place = np.argsort(np.argsort(special, kind="stable"), kind="stable")  # special chunks come last among the ids
+        return gather(ids, (ends - n)[place], n[place]), n[place]
+
+    return resolve
 
 
 def _pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for batch in batches:
-            texts, owners, rows = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist(), ([], [], [], [], [])
-            owner = iter(owners)
-            for ids, ends in coder.encode(texts):
+            texts, rows = pc.fill_null(batch.column(1), ""), ([], [], [], [], [])
+            owner = iter(batch.column(0).to_pylist())
+            for ids, ends in coder.encode_column(texts, _spaced):
                 at = 0
                 for end in ends.tolist():
                     raw = ids[at:end].astype("<u4").tobytes() + END.to_bytes(4, "little")

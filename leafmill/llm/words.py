@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters of text that are held as words at a time, and words in the table.
 CHUNK_CHARS, TABLE_WORDS = 1_000_000, 500_000
+#: Bytes of text that Arrow cuts at a time.
+CHUNK_BYTES = 8_000_000
 
 
 def gather(flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -39,6 +43,33 @@ class Coder:
         self.cut, self.resolve = cut, resolve
         self.clear()
 
+    def codes_of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
+
+    def encode_column(self, column: pa.Array, split: Callable[[pa.Array], pa.ListArray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As :meth:`encode`, of texts without nulls that Arrow splits: a word that occurs often is looked up once a chunk."""
+        sizes, at = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(column):
+            self.shrink()
+            past = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, past + CHUNK_BYTES, "right")))
+            words = split(column.slice(at, to - at))
+            found = words.flatten().dictionary_encode()
+            yield self.ids_of(self.codes_of(found.dictionary.to_pylist())[found.indices.to_numpy(zero_copy_only=False)], words.value_lengths().to_numpy(zero_copy_only=False))
+            at = to
+
+    def ids_of(self, code: np.ndarray, counts: np.ndarray | list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of coded words, and where the texts of so many words each end among them."""
+        self._learn()
+        length = self.length[code]
+        after = np.concatenate([[0], np.cumsum(length)])
+        return gather(self.flat, self.first[code], length), after[np.cumsum(counts, dtype=np.int64)]
+
+    def shrink(self) -> None:
+        """Start anew when the table is full."""
+        if len(self.codes) > TABLE_WORDS:
+            self.clear()
+
     def clear(self) -> None:
         self.codes = _Codes()
         self.codes.new = []
@@ -63,17 +94,12 @@ class Coder:
         """For chunk after chunk: the ids of its texts, and where each text ends among them."""
         at = 0
         while at < len(texts):
-            if len(self.codes) > TABLE_WORDS:
-                self.clear()
+            self.shrink()
             codes, ends, chars = [], [], 0  # arrays of codes by text, and their sizes
             while at < len(texts) and (not ends or chars + len(texts[at]) <= CHUNK_CHARS):
                 words = self.cut(texts[at])
-                codes.append(np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words)))
+                codes.append(self.codes_of(words))
                 ends.append(len(words))
                 chars += len(texts[at])
                 at += 1
-            self._learn()
-            code = np.concatenate(codes)
-            length = self.length[code]
-            after = np.concatenate([[0], np.cumsum(length)])
-            yield gather(self.flat, self.first[code], length), after[np.cumsum(ends)]
+            yield self.ids_of(np.concatenate(codes), ends)
