@@ -15,6 +15,7 @@ from pathlib import Path
 from .functions.extract import MAX_BYTES, RETENTION, VALUES, Output, Plan, Request, Selection, byte_size
 from .functions.inspect import inspect
 from .functions.interop import stable_json
+from .functions.suggest import hint
 from .operators.schemas import OPERATIONS, SCHEMAS
 from .sources.http import fetch
 from .sources.readers import DefinitionError, definition_of, request_of
@@ -210,25 +211,38 @@ def parser() -> argparse.ArgumentParser:
     page.add_argument("--output", choices=["text", "json"], default="text")
     p = commands.add_parser("catalog")
     p.add_argument("--operation")
+    p.add_argument("--output", choices=["text", "json"], default="text")
     p = commands.add_parser("schema")
     p.add_argument("--name")
     p.add_argument("--schema-version", type=int)
+    p.add_argument("--output", choices=["text", "json"], default="text")
     return top
 
 
+def _listed(report: str, name: str, fields: tuple[str, ...], rows: list[tuple]) -> str:
+    """A report that lists rows, with its own schema name and version."""
+    version = next(v for n, v, _ in SCHEMAS if n == report)
+    return json.dumps({"schema_name": report, "schema_version": version, name: [dict(zip(fields, r, strict=True)) for r in rows]}, ensure_ascii=False, indent=2)
+
+
 def run(argv: list[str]) -> str:
     args = parser().parse_args(argv)
     if args.command == "catalog":
         found = [o for o in OPERATIONS if args.operation in (None, o[0])]
         if not found:
-            raise Failure(USAGE, "operation_unknown", f"unknown operation {args.operation}")
+            raise Failure(USAGE, "operation_unknown", f"unknown operation {args.operation}.{hint(args.operation, [o[0] for o in OPERATIONS])}")
+        if args.output == "json":
+            return _listed("catalog_report", "operations", ("operation_id", "description", "command"), found)
         return "\n".join(f"{name}: {text}" for name, text, _ in found)
     if args.command == "schema":
         if args.schema_version is not None and args.name is None:
             raise Failure(USAGE, "schema_version_without_name", "--schema-version needs --name")
         found = sorted(s for s in SCHEMAS if args.name in (None, s[0]) and args.schema_version in (None, s[1]))
         if not found:
-            raise Failure(USAGE, "schema_unknown", f"unknown schema {args.name}")
+            versions = ", ".join(str(v) for n, v, _ in sorted(SCHEMAS) if n == args.name)
+            raise Failure(USAGE, "schema_unknown", f"unknown schema {args.name}." + (f" Versions: {versions}." if versions else hint(args.name, sorted({n for n, _, _ in SCHEMAS}))))
+        if args.output == "json":
+            return _listed("schema_report", "schemas", ("schema_name", "schema_version", "owner"), found)
         return "\n".join(f"{name}@{version} ({owner})" for name, version, owner in found)
     if getattr(args, "look", None) == "source":
         text, _, base = _load(args)
