@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantisation, bpe, exact_dedup, language_id, ngram_join, packing, pii, quality, secret_scan, sharding
+from . import additive_quantisation, bpe, exact_dedup, language_id, ngram_join, packing, pii, quality, secret_scan, sharding, yinyang
 from .common import documents, ship
 
 #: Vocabulary files of public tokenizers, by name in the package that holds them.
@@ -59,9 +59,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op7_nearest, op8_packing, op9_pii, op10_quality)}
+    found = (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op7_nearest, op8_packing, op9_pii, op10_quality, op11_yinyang)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op11_yinyang": yinyang.oracle()}
