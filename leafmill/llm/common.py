@@ -92,6 +92,24 @@ def without_marked(docs: DataFrame, key: Column, marked: DataFrame) -> DataFrame
     return left.drop(mine)
 
 
+#: A key is hot if it has more than one in so many of all rows; there are fewer such keys than that.
+SHARE, LEAST_HOT = 1000, 10_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (read more than once: a saved table) joined with ``one``, which has one row of each key at most; no key is null.
+
+    The rows of hot keys stay where they are: their side of ``one``, fewer than SHARE rows at any size, is broadcast.
+    All others meet by key.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max(LEAST_HOT, rows.count() // SHARE))
+    found = counts.select(*keys).collect()
+    if not found:
+        return rows.join(one, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, counts.select(*keys).schema))
+    return rows.join(hot, keys, "left_semi").join(F.broadcast(one.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(one, keys))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; rows without a doc_id count as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))

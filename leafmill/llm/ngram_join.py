@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import COUNT_ROWS, bucketed, count_rows, discard, release, row_key, saved, summed, without_marked
+from .common import COUNT_ROWS, bucketed, count_rows, discard, join_one, release, row_key, saved, summed, without_marked
 from .components import components
 from .shingles import WORDS, set_key, shingle_sets
 
@@ -218,7 +218,16 @@ class Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        first = saved(self.texts.mapInArrow(_measured(words), f"doc_id long, text_key long, n long, cls long, {COUNT_ROWS}"), "measured")
+        self.measure()
+
+    @property
+    def most(self) -> int:
+        """Classes of a group that meet each other directly."""
+        return SMALL
+
+    def measure(self) -> None:
+        """The first pass over the texts: rows, classes and the global order."""
+        first = saved(self.texts.mapInArrow(_measured(self.words), f"doc_id long, text_key long, n long, cls long, {COUNT_ROWS}"), "measured")
         self.rows = first.where("n IS NOT NULL").select("doc_id", "text_key", "n", "cls")
         self.classes = saved(_least(self.rows.where("n > 0"), "cls", "doc_id", "text_key"), "classes")
         counts = summed(first.where("part IS NOT NULL").select("part", "grp", "counts"), 1 << BUCKET_BITS)
@@ -231,8 +240,9 @@ class Join:
         each = raw.withColumn("salt", salt).repartition(F.col("gram"), F.col("salt")).groupBy("gram", "salt", "cls").agg(F.max("mark").alias("mark"))  # one exchange for this and the window
         each = saved(each.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("k > 1 OR salt > 0"), "prefixes")
         salted = each.where("salt > 0").drop("k")
-        sizes = salted.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        many = each.where("salt = 0").select("gram", "cls", "mark", "k").unionByName(salted.join(sizes, "gram").select("gram", "cls", "mark", "k"))
+        sizes = salted.groupBy("gram", "salt").agg(F.count(F.lit(1)).alias("k"))  # at most SALTS rows of each shingle
+        sizes = sizes.withColumn("k", F.sum("k").over(Window.partitionBy("gram"))).where("k > 1")
+        many = each.where("salt = 0").select("gram", "cls", "mark", "k").unionByName(salted.join(sizes, ["gram", "salt"]).select("gram", "cls", "mark", "k"))
         many = many.withColumns({"n": F.shiftright("mark", BUCKET_BITS + SALT_BITS), "end": F.col("mark").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))}).drop("mark")
         own = Window.partitionBy("cls")
         found = saved(many.withColumns({"held": F.count(F.lit(1)).over(own), "large": F.sum((F.col("k") > SMALL).cast("long")).over(own), "company": F.sum("k").over(own)}), "entries")
@@ -242,9 +252,12 @@ class Join:
     def open(self, entries: DataFrame, labels: DataFrame | None) -> DataFrame:
         """The entries of groups that hold several components, with label and p, the pivot of the group."""
         now = entries.withColumn("label", F.col("cls")) if labels is None else entries.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        now = saved(now, "labelled")
         lead = F.max(F.struct("company", *SIDE.values())).alias("p")
         groups = now.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead).where("lo <> hi").select("gram", "p")
-        return saved(now.join(groups, "gram"), "open")
+        found = saved(join_one(now, saved(groups, "groups"), ["gram"]), "open")
+        discard(now)
+        return found
 
     def fits(self, m: str = "na", n: str = "nb") -> Column:
         return (F.least(m, n) * 100) >= (F.greatest(m, n) * self.percent)
@@ -253,8 +266,11 @@ class Join:
         """The sets of ``classes`` in fragments (cls, frag, grams), and of others that the Bloom filter lets through, bucketed by cls so that joins need not move them again."""
         names = saved(classes.join(self.classes, "cls").select(_name("rep", "rep_key").alias("name")), "names")
         bloom = self.spark.sparkContext.broadcast(_bloom(names))
+        full = names.count() * BLOOM_EACH > 2 * BLOOM_MOST
         discard(names)
         raw = self.texts.select(_name("doc_id", "text_key").alias("name"), "text").mapInArrow(_segments(self.order, bloom, self.words), "cls long, frag int, grams array<long>")
+        if full:  # so that what is stored stays bounded by ``classes``
+            raw = raw.join(classes.select("cls"), "cls", "left_semi")
         return bucketed(raw, "cls", ["cls", "frag"], "segments")
 
     def overlaps(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -262,7 +278,7 @@ class Join:
         salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALT_ROWS) + 1).alias("salts"))
         mine = parts.join(salts.withColumnRenamed("a", "cls"), "cls")
         mine = mine.select(F.col("cls").alias("a"), "frag", F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-        salted = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).drop("salts")
+        salted = join_one(pairs, salts, ["a"]).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))).drop("salts")
         other = parts.join(salted.withColumnRenamed("b", "cls"), "cls").select("a", F.col("cls").alias("b"), "na", "nb", "salt", "frag", F.col("grams").alias("gb"))
         met = other.join(mine, ["a", "frag", "salt"])
         return saved(met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("same")).groupBy("a", "b", "na", "nb").agg(F.sum("same").alias("same")), "overlaps")
@@ -356,14 +372,14 @@ class Join:
     def labels(self) -> DataFrame | None:
         """cls (node) and label of all linked classes; None without links."""
         every = self.entries()
-        entries, small = saved(every.where(F.col("k") > SMALL).drop("k", "large"), "entries"), self.small(every)
+        entries, small = saved(every.where(F.col("k") > self.most).drop("k", "large"), "entries"), self.small(every)
         budget = PAIRS_PER_ENTRY * every.count()
         discard(every)
         able = self.able(self.members(self.open(entries, None)))
         parts = self.segments(able.union(small.select("a")).union(small.select("b")).distinct())
         entries = saved(entries.join(able, "cls", "left_semi"), "entries")
         open_ = self.open(entries, None)
-        met = self.overlaps(small.union(self.stars(open_)).distinct(), parts)
+        met = self.overlaps(saved(small.union(self.stars(open_)).distinct(), "pairs"), parts)
         known, found, labels = self.known(self.members(open_), met, parts), self.links(met), None
         for number in range(ROUNDS + 1):
             labels = components(found) if found.limit(1).count() else None
@@ -387,21 +403,28 @@ class Join:
         return labels
 
 
-def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _rows(run: Join) -> DataFrame:
     """doc_id, text_key, n of every row, and rep, rep_key: the row that names its component (null for empty sets)."""
-    run = Join(docs, words, percent)
     labels = run.labels()
     classes = run.classes
     if labels is not None:
         named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        classes = named.select("cls", "label").join(_least(named, "label", "rep", "rep_key"), "label").select("cls", "rep", "rep_key")
-    return run.rows.join(classes.withColumnRenamed("cls", "_cls"), (F.col("n") > 0) & (F.col("cls") == F.col("_cls")), "left")
+        named = saved(named, "named")
+        classes = join_one(named.select("cls", "label"), saved(_least(named, "label", "rep", "rep_key"), "reps"), ["label"]).select("cls", "rep", "rep_key")
+    some, none = run.rows.where("n > 0"), run.rows.where("n IS NULL OR n = 0")
+    found = join_one(some, classes, ["cls"]).select("doc_id", "text_key", "n", "rep", "rep_key")  # many copies of one text are a hot key
+    return found.unionByName(none.select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("rep_key")))
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def told(run: Join) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     component = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    return _rows(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _rows(run).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return told(Join(docs, words, percent))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -412,7 +435,26 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     told apart by doc_id and text, so other texts under a doc_id that goes are left alone.
     Empty sets link with nothing: all their rows stay.
     """
+    return one_of_each(docs, Join(docs, words, percent))
+
+
+def one_of_each(docs: DataFrame, run: Join) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
-    each = _rows(docs, words, percent).where("n > 0").groupBy("doc_id", "text_key").agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    each = _rows(run).where("n > 0").groupBy("doc_id", "text_key").agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
     marked = saved(each.where("NOT stays OR n > 1").select(row_key(F.col("doc_id"), F.col("text_key")).alias("key"), "stays"), "marked")
     return without_marked(docs, row_key(F.col("doc_id").cast("long"), _text_key(F.col("text"))), marked)
+
+
+def oracle(words: int = WORDS, percent: int = PERCENT) -> str:
+    """The same components in DuckDB's SQL: all pairs that share a shingle, counted, and all that links reach."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    gram AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words} - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - {words} + 2, 2))) AS i FROM split WHERE len(w) > 0)),
+    many AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM gram x JOIN gram y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    link AS MATERIALIZED (SELECT a, b FROM common JOIN many x ON x.doc_id = a JOIN many y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    ways AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN many USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantisation, bpe, exact_dedup, language_id, ngram_join, packing, periodic_runs, pii, quality, secret_scan, sharding, yinyang
+from . import additive_quantisation, bpe, exact_dedup, hyperminhash, language_id, ngram_join, packing, periodic_runs, pii, quality, secret_scan, sharding, yinyang
 from .common import documents, ship
 
 #: Vocabulary files of public tokenizers, by name in the package that holds them.
@@ -63,14 +63,25 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.join(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.detect(documents(spark, sf_dir), plant=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op7_nearest, op8_packing, op9_pii, op10_quality, op11_yinyang, op13_periodic_runs)
+    found = (op1_secret_scan, op2_bpe, op3_exact_dedup, op4_language_id, op5_ngram_join, op6_sharding, op7_nearest, op8_packing, op9_pii, op10_quality, op11_yinyang, op12_hyperminhash, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op11_yinyang": yinyang.oracle(), "op13_periodic_runs": periodic_runs.ORACLE}
+    near = ngram_join.oracle(hyperminhash.WORDS, hyperminhash.PERCENT)
+    return {
+        "op3_exact_dedup": exact_dedup.ORACLE,
+        "op5_ngram_join": ngram_join.oracle(),
+        "op11_yinyang": yinyang.oracle(),
+        "op12_hyperminhash": f"SELECT *, doc_id = component_id AS kept FROM ({near})",
+        "op13_periodic_runs": periodic_runs.ORACLE,
+    }

@@ -34,7 +34,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -64,18 +64,18 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
         start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
         end = np.flatnonzero(~inside & np.concatenate([[False], inside[:-1]]))  # first byte after the word
         before = np.where(start > 0, total[np.maximum(start - 1, 0)], np.uint64(0))
-        word = _mix((total[end - 1] - before) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        word = mixed((total[end - 1] - before) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         first = np.searchsorted(start, np.concatenate([[0], np.cumsum(size)]))
         full = max(0, len(word) - words + 1)
         run = np.zeros(full, np.uint64)
         for k in range(words if full else 0):
             run += word[k : k + full] * _STEP[k]
-        run = _mix(run)
+        run = mixed(run)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= words:
                 yield np.unique(run[a : b - words + 1])
             elif b > a:
-                yield _mix((word[a:b] * _STEP[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
+                yield mixed((word[a:b] * _STEP[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
 
