@@ -157,22 +157,27 @@ class Rule:
     ends: bool = False
 
 
-# Amounts and limits of the rules for nested candidates.
+def no(x):
+    """Not ``x``, for truth values and for columns."""
+    return not x if isinstance(x, bool) else ~x
+
+
+# Amounts and limits of the rules for nested candidates. The tests hold for numbers and for columns alike.
 RULES = [
     Rule(lambda g: g.outer.is_shell_of(g.inner), (2250, -1950), (1900, -1650), True),
-    Rule(lambda g: g.loses and g.share(85) and g.outer.blocks > 0, (-280, 245), None, True),
-    Rule(lambda g: g.share(92) and g.blocks <= 1 and g.headings <= 2 and (g.links >= 8 or g.utility >= 2), (210, -165), None),
-    Rule(lambda g: g.share(88) and g.headings >= 12 and g.links >= 24, (760, -620), None),
-    Rule(lambda g: g.share(98) and g.headings >= 0 and g.links >= 20, (320, -260), None),
-    Rule(lambda g: g.share(95) and not g.loses and g.headings <= 4 and g.links >= 20 and g.inner.stable >= g.outer.stable, (2400, -2000), None),
-    Rule(lambda g: g.share(98) and g.links >= 120, (700, -580), (620, -520)),
-    Rule(lambda g: g.outer.chars >= 6 * g.inner.chars and g.blocks >= 4 and g.headings >= 4, (-190, 170), None),
-    Rule(lambda g: g.share(78) and g.blocks <= 1 and (g.utility >= 8 or g.utility > 0 and g.links > 8) and g.headings <= 2, (145, -110), (120, -95)),
-    Rule(lambda g: g.outer.blocks > 0 and g.loses and g.share(70) and g.links <= 70, (-120, 95), (-220, 185)),
-    Rule(lambda g: g.outer.blocks > 0 and g.primaries > 0 and g.share(80) and g.links <= 20 and g.utility <= 6, (-50, 35), (-115, 85)),
-    Rule(lambda g: g.outer.blocks > 0 and g.share(80) and g.headings >= 4 and g.links <= 20 and g.utility <= 6, (-55, 40), (-110, 90)),
-    Rule(lambda g: g.outer.blocks > 0 and g.share(90) and g.headings >= 2 and g.links <= 12 and g.utility <= 4, (-30, 20), (-75, 55)),
-    Rule(lambda g: g.share(68) and not (g.outer.links > 0 and g.inner.links * 100 > g.outer.links * 80) and g.utility <= 12, (90, -60), (60, -40)),
+    Rule(lambda g: g.loses & g.share(85) & (g.outer.blocks > 0), (-280, 245), None, True),
+    Rule(lambda g: g.share(92) & (g.blocks <= 1) & (g.headings <= 2) & ((g.links >= 8) | (g.utility >= 2)), (210, -165), None),
+    Rule(lambda g: g.share(88) & (g.headings >= 12) & (g.links >= 24), (760, -620), None),
+    Rule(lambda g: g.share(98) & (g.headings >= 0) & (g.links >= 20), (320, -260), None),
+    Rule(lambda g: g.share(95) & no(g.loses) & (g.headings <= 4) & (g.links >= 20) & (g.inner.stable >= g.outer.stable), (2400, -2000), None),
+    Rule(lambda g: g.share(98) & (g.links >= 120), (700, -580), (620, -520)),
+    Rule(lambda g: (g.outer.chars >= 6 * g.inner.chars) & (g.blocks >= 4) & (g.headings >= 4), (-190, 170), None),
+    Rule(lambda g: g.share(78) & (g.blocks <= 1) & ((g.utility >= 8) | (g.utility > 0) & (g.links > 8)) & (g.headings <= 2), (145, -110), (120, -95)),
+    Rule(lambda g: (g.outer.blocks > 0) & g.loses & g.share(70) & (g.links <= 70), (-120, 95), (-220, 185)),
+    Rule(lambda g: (g.outer.blocks > 0) & (g.primaries > 0) & g.share(80) & (g.links <= 20) & (g.utility <= 6), (-50, 35), (-115, 85)),
+    Rule(lambda g: (g.outer.blocks > 0) & g.share(80) & (g.headings >= 4) & (g.links <= 20) & (g.utility <= 6), (-55, 40), (-110, 90)),
+    Rule(lambda g: (g.outer.blocks > 0) & g.share(90) & (g.headings >= 2) & (g.links <= 12) & (g.utility <= 4), (-30, 20), (-75, 55)),
+    Rule(lambda g: g.share(68) & no((g.outer.links > 0) & (g.inner.links * 100 > g.outer.links * 80)) & (g.utility <= 12), (90, -60), (60, -40)),
 ]
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, furniture, intervals
+from ..operators import candidates, corpus, furniture, intervals
+from ..sources.tables import kept
 from .dom_queries import _plain
-from .slice_queries import html
+from .slice_queries import html, pages
 
 KEY = ["page_id"]
 #: Elements that the tree builder repeats where markup leaves them open, and what stands in them: not to be read off the markup.
@@ -45,6 +46,12 @@ def clean_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.clean(_nodes(spark, sf_dir), KEY).where("tag = 'p'").groupBy("page_id").agg(F.count(F.lit(1)).alias("paragraphs"))
 
 
+def content_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to extract and what to read of each page, ranked by joins and windows over measured containers."""
+    found = kept(candidates.measured(pages(spark, sf_dir).select("page_id", "url", "html"), base_url="url"), "candidates")
+    return candidates.recommended(found, KEY).select("page_id", "purpose", "rank", "selector", "path", "headings", "links")
+
+
 def _decoded(c: str) -> str:
     """DuckDB: references decoded, one that lacks its semicolon at the end too."""
     return f"regexp_replace({_plain(c)}, '&amp$', '&')"
@@ -102,7 +109,8 @@ ORACLES = {
     "element_text": f"WITH {_PARTS} SELECT page_id, {_ITEM} AS path, {_TEXT} AS content FROM item UNION ALL SELECT page_id, {_PARAGRAPH}, {_TEXT} FROM paragraph",
     "furniture_roots": " UNION ALL ".join(f"SELECT page_id, 'chrome' AS why, '{path}' AS path FROM pages WHERE contains(html, '{tag}')" for tag, path in _STANDS.items()),
     "utility_roots": _utility(),
+    "content_candidates": f"WITH {_PARTS} SELECT page_id, purpose, 1::BIGINT AS rank, 'article' AS selector, '{_BODY} > article:nth-of-type(1)' AS path, len(regexp_extract_all(article, '<h[1-6]>'))::BIGINT AS headings, len(regexp_extract_all(article, '<a href='))::BIGINT AS links FROM part, (VALUES ('reading'), ('extraction')) t(purpose) WHERE length(article) > 30",
     "clean_paragraphs": f"WITH {_PARTS} SELECT page_id, count(*) AS paragraphs FROM paragraph GROUP BY page_id",
 }
 
-QUERIES = {f.__name__: f for f in (subtree_counts, element_text, furniture_roots, utility_roots, clean_paragraphs)}
+QUERIES = {f.__name__: f for f in (subtree_counts, element_text, furniture_roots, utility_roots, clean_paragraphs, content_candidates)}
