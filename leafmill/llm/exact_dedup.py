@@ -14,7 +14,7 @@ Only digests move, never texts.
 
 Null texts count as empty. Of equal texts the row with the largest doc_id stays; rows
 without a doc_id lose against any other. :func:`dedup` marks rows that repeat both doc_id
-and text alike (``kept`` for all of them; for none in groups without any doc_id);
+and text alike (``kept`` for all of them; in groups without any doc_id for all rows, with a null keep_id);
 :func:`drop_duplicates` leaves exactly one row of each text. Other columns are ignored.
 """
 

@@ -145,6 +145,10 @@ class Sketched(Join):
     def first(self, m: str, o: str) -> Column:
         return F.lit(True)  # bands have no prefixes whose ends could tell anything
 
+    def able(self, members: DataFrame) -> DataFrame:
+        """All classes of large groups: sets with an equal band are seldom of sizes that rule each other out."""
+        return saved(members.select("cls").distinct(), "able")
+
     def small(self, entries: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) of classes that meet in small groups and whose estimate does not rule a link out."""
         x, y = (entries.where(F.col("k") <= self.most).select("gram", F.col("cls").alias(f"c{side}"), F.col("n").alias(f"n{side}")) for side in "ab")

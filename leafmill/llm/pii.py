@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.arrays import bound
 
 from . import boosting
+from .common import fresh
 from .spans import LOCATED, SPAN, as_spans, free_of, located, looking, written
 
 KINDS = ["email", "ip", "card", "phone", "local", "identity", "account", "spelled"]
@@ -190,7 +191,7 @@ def with_spans(docs: DataFrame, text: str = "text", base: str = "base", selected
         as_spans(F.filter(located(t, IP), lambda x: small(x["m"])), 1),
         as_spans(F.filter(card, lambda x: _luhn(x["m"])), 2), as_spans(plus, 3),
     ]
-    tmp = [f"_{base}_p{i}" for i in range(2)]
+    tmp = [fresh(docs, f"_{base}_p{i}") for i in range(2)]
     out = docs.withColumns({base: F.array_sort(F.concat(*rules)), tmp[0]: F.concat(
         F.when(t.rlike(r"[0-9]{3}[.\x20-][0-9]{4}"), _proposals(t, 4)).otherwise(some), F.when(t.rlike("[0-9]-[0-9]{2}-[0-9]"), _proposals(t, 5)).otherwise(some),
         _proposals(t, 6), F.when(t.rlike(r"[\[(]dot[\])]"), _proposals(t, 7)).otherwise(some))})

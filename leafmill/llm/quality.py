@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, saved
+from .common import fresh, held_out, saved
 
 CALIBRATION, SHRINKAGE, THRESHOLD = 20_000, 0.1, 0.7
 STATS = 15
@@ -154,16 +154,22 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _kept(model: Model, column: str, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = model.score(statistics(batch.column(column).to_pylist())) >= threshold
-            yield batch.filter(pa.array(good, pa.bool_()))
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score below ``threshold``; columns as they are.
 
-    return run
+    Statistics are taken once and saved beside the rows; only texts cross into Python for them, and only they for the scores.
+    """
+    x, text = fresh(docs, "_x"), F.col("text").cast("string")
+    measured = saved(docs.withColumn(x, F.arrow_udf(_measured, "array<double>")(text)), "measured")
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), labels)
 
+    def scored(rows: pa.Array) -> pa.Array:
+        return pa.array(model.score(rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATS)), pa.float64())
+
+    return measured.where(F.arrow_udf(scored, "double")(F.col(x)) >= threshold).drop(x)
+
+
+def _measured(texts: pa.Array) -> pa.Array:
+    x = statistics(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, STATS), pa.int32()), pa.array(x.ravel())) if len(x) else pa.array([], pa.list_(pa.float64()))
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below ``threshold``; columns as they are."""
-    model = fit(document_stats(docs), labels)
-    return docs.mapInArrow(_kept(model, "text", threshold), docs.schema)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import bound
 
+from .common import fresh
 from .spans import SPAN, as_spans, free_of, located, masked, within, written
 
 KINDS = ["assign", "access", "hex", "ident", "weak", "endpoint"]
@@ -41,7 +42,7 @@ REACH = 256
 
 def with_spans(docs: DataFrame, text: str = "text", base: str = "base", linked: str = "linked", reach: int = REACH) -> DataFrame:
     """``docs`` with the strong spans (``base``) and the linked weak spans (``linked``) of every whole text."""
-    t, none, tmp = F.coalesce(F.col(text).cast("string"), F.lit("")), F.array().cast(SPAN), [f"_{base}_{i}" for i in range(7)]
+    t, none, tmp = F.coalesce(F.col(text).cast("string"), F.lit("")), F.array().cast(SPAN), [fresh(docs, f"_{base}_{i}") for i in range(7)]
     value = lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2))
     mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[a-z]") & x["m"].rlike("[A-Z]")
     out = docs.withColumns({
@@ -84,11 +85,11 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """``docs`` with every strong span and every linked weak secret masked and n_chars, if there, recounted; all rows stay."""
-    names = docs.columns
-    out = with_spans(docs, base="_secret_base", linked="_secret_linked", reach=reach)
-    hide = F.concat("_secret_base", F.filter("_secret_linked", lambda x: x["k"] == 4))
+    base, linked, shown, hidden = (fresh(docs, f"_secret_{n}") for n in ("base", "linked", "text", "n"))
+    out = with_spans(docs, base=base, linked=linked, reach=reach)
+    hide = F.concat(base, F.filter(linked, lambda x: x["k"] == 4))
     # under a name of its own first: beside an alias "text", "text" inside a lambda would mean that alias
-    out = out.withColumns({"_secret_text": masked(F.col("text"), hide, mark), "_secret_n": F.size(hide)})
-    count = F.when(F.col("_secret_n") > 0, F.length("_secret_text")).otherwise(F.col("n_chars") if "n_chars" in names else None)
-    replaced = {"text": F.col("_secret_text"), "n_chars": count}
-    return out.select(*[replaced[c].cast(docs.schema[c].dataType).alias(c) if c in replaced else F.col(f"`{c}`") for c in names])
+    out = out.withColumns({shown: masked(F.col("text"), hide, mark), hidden: F.size(hide)})
+    count = F.when(F.col(hidden) > 0, F.length(shown)).otherwise(F.col("n_chars") if "n_chars" in docs.columns else None)
+    replaced = {"text": F.col(shown), "n_chars": count}
+    return out.select(*[replaced[c].cast(docs.schema[c].dataType).alias(c) if c in replaced else F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import boosting, exact_dedup, pii, secret_scan, sharding
+from leafmill.llm import boosting, exact_dedup, hyperminhash, ngram_join, periodic_runs, pii, quality, secret_scan, sharding
 
 from leafmill.llm.spans import masked
 
@@ -77,6 +77,26 @@ def test_redaction(spark):
     assert out == {1: ("x [SECRET] y", 12, "k"), 2: (None, None, None), 3: ("clean", 5, "k"), 4: ("é [SECRET]!", 11, "z")}
 
 
+def test_clashing_columns_come_back_as_they_were(spark):
+    """Every internal name of every operator that returns its caller's columns, in any case, as a column of the documents."""
+    own = ["_secret_base", "_SECRET_linked", "_secret_text", "_secret_n", "__secret_base_0", "__secret_base_3", "_base_p0", "_base_p1", "_key", "_x", "x", "base", "linked", "selected", "rep", "cls", "n", "key", "stays", "digest", "run", "keep_id", "label"]
+    text = "x token=abcdefgh123 y and password: abc12 of login = bob, mail bo@x.example.org or 212-555-0188"
+    rows = [(i, f"{text} {i // 2}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in own])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    outs = [secret_scan.redact(docs), pii.with_spans(docs, base="found", selected="more").drop("found", "more"), exact_dedup.drop_duplicates(docs), quality.keep_good(docs, labels), ngram_join.keep_one(docs), hyperminhash.keep_one(docs), periodic_runs.collapse(docs)]
+    for out in outs:
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c} {r.doc_id}" for r in got for c in own)
+    assert [len(o.collect()) for o in outs[2:4]] == [3, 6]
+
+
+def test_rows_without_any_id_are_all_kept(spark):
+    docs = spark.createDataFrame([(None, "eq"), (None, "eq"), (1, "a"), (None, "a")], "doc_id long, text string")
+    assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.dedup(docs).collect()) == [(0, 2, True), (0, 2, True), (1, 2, False), (1, 2, True)]
+
+
 def test_boosted_proposals(spark):
     docs = spark.createDataFrame([(1, "call me at 555-010-2030 now"), (2, "order 555-010-2030% of"), (3, "reach us: name [at] host [dot] org.")], "doc_id long, text string")
     rows = {r.doc_id: r.spans for r in pii.find(docs).collect()}
