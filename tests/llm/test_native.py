@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,7 +102,8 @@ def test_boosted_proposals(spark):
     docs = spark.createDataFrame([(1, "call me at 555-010-2030 now"), (2, "order 555-010-2030% of"), (3, "reach us: name [at] host [dot] org.")], "doc_id long, text string")
     rows = {r.doc_id: r.spans for r in pii.find(docs).collect()}
     assert rows[1].startswith("local:11:23") and rows[2] == "" and rows[3].startswith("spelled:")
-    x, y = pii._synthetic(4, 200)
+    rows = pii._drawn(4, 200)
+    x, y = pii._matrix(rows, 4, []), np.array([r[3] for r in rows], float)
     trees = boosting.fit(x, y, trees=4)
     margin = sum(boosting.evaluate(t, x) for t in trees)
     cols = spark.createDataFrame(x.tolist(), [f"f{i}" for i in range(x.shape[1])]).select(boosting.as_column(trees, lambda j: F.col(f"f{j}")).alias("m"))
@@ -223,11 +225,26 @@ def test_proposals_never_seen(kind):
 
 
 @pytest.mark.parametrize("kind", sorted(pii.PROPOSED))
-def test_features_agree_with_columns(spark, kind, monkeypatch):
-    seen = []
-    real = pii._features
-    monkeypatch.setattr(pii, "_features", lambda *a: seen.append(a) or real(*a))
-    x, _ = pii._synthetic(kind, 80)
-    docs = spark.createDataFrame([(i, m, before, after) for i, (m, before, after, _) in enumerate(seen)], "i int, m string, before string, after string")
-    got = docs.select("i", F.array(*pii._feature_columns(F.col("m"), F.col("before"), F.col("after"), kind)).alias("f")).orderBy("i").collect()
-    assert [r.f for r in got] == x.tolist()
+def test_features_agree_with_columns(spark, kind):
+    rows = pii._drawn(kind, 80) + pii._drawn(kind, 80, unseen=True) + ([("a.b at c dot com", "ÉCOLE Mail-Me K", "x", 1)] if kind == 7 else [])
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, m string, before string, after string, y int")
+    cols = pii._feature_columns(F.col("m"), F.col("before"), F.col("after"), kind)
+    got = docs.select("i", F.array(*cols).alias("f"), pii._word_column(F.col("before")).alias("w")).orderBy("i").collect()
+    assert [r.f for r in got] == pii._matrix(rows, kind, []).tolist()
+    assert [set(r.w) for r in got] == [pii._words(before) for _, before, _, _ in rows]
+
+
+def test_leads_of_the_tests_are_not_those_of_training():
+    words = lambda leads: {w for v in leads.values() for x in v for w in re.findall("[a-z]{3,}", x.lower())}
+    assert not words(pii.UNSEEN) & (words(pii.LEADS) - {"the", "via", "and"})
+
+
+MISSED = ["Emergency line 212-555-0188", "Hotline: 800-555-0199", "Support desk 312.555.0147", "T: 312-555-0147", "Voice 312-555-0147", "Ping us: 212-555-0188", "Give me a buzz: 646.555.0112", "SSNs such as 078-05-1120", "say hello: john at example dot com"]
+CLEAN = ["shelf 012-345-6789", "order 212-155-0188", "firmware 000-12-3456", "look at figure dot three", "barcode AB12 3456 7890 12", "lot 900-12-3456"]
+
+
+def test_words_that_training_never_saw(spark):
+    docs = spark.createDataFrame(list(enumerate(MISSED + CLEAN)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert [t for i, t in enumerate(MISSED) if not spans[i]] == []
+    assert [(t, spans[len(MISSED) + i]) for i, t in enumerate(CLEAN) if spans[len(MISSED) + i]] == []
