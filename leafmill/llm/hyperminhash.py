@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from . import ngram_join
 from .common import discard, join_one, saved
+from .components import components
 from .ngram_join import BUCKET_BITS, Join, Order
 from .shingles import mixed, set_key, shingle_sets
 
@@ -149,6 +150,17 @@ class Sketched(Join):
         """All classes of large groups: sets with an equal band are seldom of sizes that rule each other out."""
         return saved(members.select("cls").distinct(), "able")
 
+    def opened(self, entries: DataFrame, small: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """As for prefixes, in two steps: a class has up to BANDS groups, so it meets the pivot with the most company first, and others only in groups that are still open then."""
+        every = self.open(entries, None).where("cls <> p.cls")
+        pair = [F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb")]
+        first = every.groupBy("cls", "n").agg(F.max("p").alias("p")).select(*pair).where(self.fits())
+        met = self.overlaps(saved(small.union(first).distinct(), "pairs"), parts)
+        found = self.links(met)
+        open_ = self.open(entries, components(found) if found.limit(1).count() else None)
+        rest = open_.where("cls <> p.cls").select(*pair).where(self.fits()).distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
+        return open_, met.union(self.overlaps(saved(rest, "pairs"), parts))
+
     def small(self, entries: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) of classes that meet in small groups and whose estimate does not rule a link out."""
         x, y = (entries.where(F.col("k") <= self.most).select("gram", F.col("cls").alias(f"c{side}"), F.col("n").alias(f"n{side}")) for side in "ab")

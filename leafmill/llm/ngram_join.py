@@ -300,6 +300,11 @@ class Join:
         met = open_.where("cls <> p.cls AND label <> p.label").select(*sides).where(self.fits())
         return saved(met.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct(), "stars")
 
+    def opened(self, entries: DataFrame, small: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The open groups, and the overlaps of pivots with the classes of their groups and of the pairs of small groups."""
+        open_ = self.open(entries, None)
+        return open_, self.overlaps(saved(small.union(self.stars(open_)).distinct(), "pairs"), parts)
+
     def members(self, open_: DataFrame) -> DataFrame:
         """Every class of every pivot's groups, once: p, cls, n, held, end."""
         return open_.select(F.col("p.cls").alias("p"), "cls", "n", "held", "end").distinct()
@@ -378,8 +383,7 @@ class Join:
         able = self.able(self.members(self.open(entries, None)))
         parts = self.segments(able.union(small.select("a")).union(small.select("b")).distinct())
         entries = saved(entries.join(able, "cls", "left_semi"), "entries")
-        open_ = self.open(entries, None)
-        met = self.overlaps(saved(small.union(self.stars(open_)).distinct(), "pairs"), parts)
+        open_, met = self.opened(entries, small, parts)
         known, found, labels = self.known(self.members(open_), met, parts), self.links(met), None
         for number in range(ROUNDS + 1):
             labels = components(found) if found.limit(1).count() else None
