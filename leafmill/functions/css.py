@@ -348,6 +348,7 @@ class Matcher:
         self.places: dict[int, dict[int, tuple[int, int, int, int]]] = {}
         self.siblings: dict[int, list[Node]] = {}
         self.held: dict[tuple[int, int, int], dict] = {}
+        self.anchors: dict[int, set[int]] = {}
 
     def place(self, e: Node) -> tuple[int, int, int, int]:
         """Position among siblings from either end, and among those of its type."""
@@ -408,6 +409,42 @@ class Matcher:
             held[id(n)] = found
         return found
 
+    def having(self, s: Complex, e: Node) -> set[int]:
+        """All elements of the tree of ``e`` from which a relative selector leads to some element: found once, from its subjects back."""
+        if id(s) not in self.anchors:
+            top = e
+            while top.parent is not None:
+                top = top.parent
+            found = [n for n in top.walk() if n.kind == "element" and all(self.simple(c, n, None) for c in s.compounds[0])]
+            for simples, how in zip(s.compounds[1:], s.combinators, strict=True):
+                found = [n for n in self.leading(how, found) if all(c.kind == "anchor" or self.simple(c, n, None) for c in simples)]
+            self.anchors[id(s)] = {id(n) for n in found}
+        return self.anchors[id(s)]
+
+    def leading(self, how: str, found: list[Node]) -> list[Node]:
+        """The elements from which a combinator leads to one of ``found``, each once and in linear time."""
+        out: dict[int, Node] = {}
+        last: dict[int, int] = {}
+        for n in found:
+            up = n.parent
+            if up is None:
+                continue
+            if how in "+~":
+                at = self.place(n)[0] - 1
+                if how == "~":
+                    last[id(up)] = max(last.get(id(up), 0), at)
+                elif at:
+                    before = self.siblings[id(up)][at - 1]
+                    out[id(before)] = before
+            elif how == ">":
+                if up.kind == "element":
+                    out[id(up)] = up
+            else:
+                while up is not None and up.kind == "element" and id(up) not in out:
+                    out[id(up)] = up
+                    up = up.parent
+        return [*out.values(), *(n for up, at in last.items() for n in self.siblings[up][:at])]
+
     def simple(self, c: Simple, e: Node, anchor: Node | None) -> bool:
         kind = c.kind
         if kind == "any":
@@ -444,12 +481,7 @@ class Matcher:
         if kind == "is":
             return self.any(c.inner, e)
         if kind == "has":
-            for s in c.inner:
-                near = s.combinators[-1] in "+~"
-                pool = e.parent if near and e.parent is not None else e
-                if any(self.complex(s, n, 0, e) for n in pool.elements()):
-                    return True
-            return False
+            return any(id(e) in self.having(s, e) for s in c.inner)
         return False
 
 

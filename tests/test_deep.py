@@ -84,3 +84,19 @@ def test_shipping_writes_nothing_beside_the_sources(tmp_path, monkeypatch):
     shipping.ship(session)
     names = zipfile.ZipFile(Context.added[0]).namelist()
     assert "leafmill/functions/dom.py" in names and not any("__pycache__" in n or os.path.isabs(n) for n in names)
+
+
+@pytest.mark.parametrize("markup,selector,count", [
+    ("<ul>" + "<li>x<b>y</b></li>" * 20_000 + "</ul>", "ul:has(b)", 1), ("<ul>" + "<li>x<b>y</b></li>" * 20_000 + "</ul>", "li:not(:has(+ b)):has(~ li)", 19_999), ("<div>" * 5000 + "<b>x</b>", "div:has(b)", 5000),
+])
+def test_has_is_linear(markup, selector, count):
+    document = parse(markup)
+    began = time.time()
+    assert len(css.select(document, css.parse(selector))) == count and time.time() - began < 5
+
+
+def test_has_leads_from_every_anchor():
+    document = parse("<div id=a><p><b>x</b></p><i></i><p class=y></p></div><div id=c><ul><li><b></b></li></ul></div>")
+    ids = lambda s: [e.attrs.get("id") or e.tag for e in css.select(document, css.parse(s))]
+    assert ids("div:has(b)") == ["a", "c"] and ids("div:has(> b)") == [] and ids("p:has(+ i)") == ["p"] and ids("p:has(~ .y)") == ["p"]
+    assert ids(":has(> p > b, + #c)") == ["a"] and ids("div:not(:has(p))") == ["c"] and ids("ul:has(:is(b, i):first-child)") == ["ul"]
