@@ -3,8 +3,8 @@
 A compound is a filter; combinators are semi joins from left to right: child on the parent's
 id, siblings on the parent and their ordinals, descendants on the document with the
 containment interval as a residual. ``:not`` is an anti join, ``:is`` a semi join on a union,
-``:has`` a semi join with the interval turned around. Catalyst picks the joins; all share
-the document's key, so one partitioning by it serves the whole plan.
+``:has`` a semi join with the interval turned around. Catalyst picks the joins; each is keyed by the
+document and the node or parent that it asks for, so joins with different keys exchange their narrow sides anew.
 """
 
 from __future__ import annotations

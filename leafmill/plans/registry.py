@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dom_queries, fact_queries, slice_queries, subtree_queries
+from . import dom_queries, slice_queries, subtree_queries
 
-MODULES = [slice_queries, dom_queries, subtree_queries, fact_queries]
+MODULES = [slice_queries, dom_queries, subtree_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

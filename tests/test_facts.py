@@ -1,7 +1,4 @@
-"""Registered queries over small documents with known answers: sealed plans, rendering and rewritten URLs.
-
-They read no table: the inputs are the facts themselves, and the SQL states the answers.
-"""
+"""Small documents with known answers: sealed plans, rendering and rewritten URLs."""
 
 from __future__ import annotations
 
@@ -10,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.extract import Output, Request, Selection
-from ..operators import corpus
+from leafmill.functions.extract import Output, Request, Selection
+from leafmill.operators import corpus
 
 START = "https://example.com/docs/start.html"
 
@@ -76,7 +73,7 @@ def _document(spark: SparkSession, case: str, html: str, base: str | None) -> Da
     return spark.range(0, 1, 1, 1).select(F.lit(case).alias("case_name"), F.lit(html).alias("html"), F.lit(base).cast("string").alias("base"))
 
 
-def sealed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sealed_facts(spark: SparkSession) -> DataFrame:
     """What sealed results and errors say, case by case."""
     parts = [corpus.run_plan(_document(spark, case, html, base), _plan(*how), base_url="base").withColumn("whole", F.lit(how[1] == "structured")) for case, html, base, *how in (c[:8] for c in SEALED)]
     match = "array<struct<output_value:string,text_output:string,plain_text_output:string,comparison_text_output:string>>"
@@ -92,7 +89,7 @@ def sealed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shown_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shown_facts(spark: SparkSession) -> DataFrame:
     """Rendered texts and rewritten URLs, case by case."""
     parts = []
     for case, html, base, selector, attribute, _ in SHOWN:
@@ -101,20 +98,11 @@ def shown_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _literal(value: str | bool | None) -> str:
-    if value is None:
-        return "NULL::VARCHAR"
-    if isinstance(value, bool):
-        return str(value).lower()
-    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({columns})"
+def test_sealed_facts(spark):
+    columns = ["case_name", "is_result", "error_code", "value", "text", "plain", "comparison", "warning"]
+    got = {r.case_name: tuple(r) for r in sealed_facts(spark).select(*columns).collect()}
+    assert got == {c[0]: (c[0], c[8] is None, *c[8:]) for c in SEALED}
 
 
-ORACLES = {
-    "sealed_facts": _values([(c[0], c[8] is None, *c[8:]) for c in SEALED], "case_name, is_result, error_code, value, text, plain, comparison, warning"),
-    "shown_facts": _values([(c[0], c[-1]) for c in SHOWN], "case_name, value"),
-}
-QUERIES = {f.__name__: f for f in (sealed_facts, shown_facts)}
+def test_shown_facts(spark):
+    assert {r.case_name: r.value for r in shown_facts(spark).collect()} == {c[0]: c[-1] for c in SHOWN}
