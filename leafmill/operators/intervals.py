@@ -103,3 +103,24 @@ def text_content(nodes: DataFrame, keys: Sequence[str], wanted: Column, carry: S
     content = lambda f: F.array_join(F.slice("_texts", (f["texts_before"] + 1).cast("int"), f["texts"].cast("int")), "")
     each = F.transform("_found", lambda f: F.struct(f["node_id"].alias("node_id"), *[f[c].alias(c) for c in carry], content(f).alias("content")))
     return gathered.select(*keys, F.inline(each))
+
+
+def list_markers(nodes: DataFrame, keys: Sequence[str], carry: Sequence[str] = ("path",)) -> DataFrame:
+    """keys, node_id, ``carry``, ordinal and marker of each ``li``: its number in an ordered list (null elsewhere), and what a reader sees before it.
+
+    A segmented scan: an ordered list and its items are a group, whose first row is the list. An item counts on from the last
+    item with a value of its own, or from the list's start (1, or in a reversed list the number of its items), up or down.
+    """
+    item, ordered = is_element("li"), is_element("ol")
+    number = lambda name: F.when(F.col("attrs")[name].rlike("^[+-]?[0-9]+$"), F.col("attrs")[name].try_cast("bigint"))
+    group = Window.partitionBy(*keys, "_list").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys, "_list")
+    rows = nodes.where(item | ordered).withColumns({"_list": F.when(ordered, F.col("node_id")).otherwise(F.col("parent_id")), "_own": F.when(item, number("value")), "_start": F.when(ordered, number("start")), "_back": ordered & F.map_contains_key("attrs", F.lit("reversed"))})
+    # an ordered list that is itself a child of a list is the head of its own group alone
+    rows = rows.withColumns({"_at": F.sum(item.cast("int")).over(group), "_items": F.sum(item.cast("int")).over(whole), "_head": F.first(F.when(ordered, F.struct("_start", "_back")), True).over(group)})
+    rows = rows.withColumn("_last", F.last(F.when(F.col("_own").isNotNull(), F.struct("_own", "_at")), True).over(group))
+    step, wide = F.when(F.col("_head._back"), -1).otherwise(1), lambda c: c.cast("decimal(21,0)")
+    begun = F.coalesce(wide(F.col("_head._start")), wide(F.when(F.col("_head._back"), F.col("_items")).otherwise(1)))
+    at = F.when(F.col("_last").isNotNull(), wide(F.col("_last._own")) + step * (F.col("_at") - F.col("_last._at"))).otherwise(begun + step * (F.col("_at") - 1))
+    ordinal = F.when(F.col("_head").isNotNull(), at)
+    return rows.where(item).select(*keys, "node_id", *carry, ordinal.cast("string").alias("ordinal"), F.coalesce(F.concat(ordinal.cast("string"), F.lit(". ")), F.lit("- ")).alias("marker"))

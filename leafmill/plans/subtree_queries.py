@@ -30,6 +30,11 @@ def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.text_content(_nodes(spark, sf_dir), KEY, intervals.is_element("p", "li")).select("page_id", "path", "content")
 
 
+def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before every list item of a rendered page."""
+    return intervals.list_markers(_nodes(spark, sf_dir), KEY).select("page_id", "path", "ordinal", "marker")
+
+
 def furniture_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where page furniture and hidden parts begin."""
     return furniture.roots(_nodes(spark, sf_dir), KEY).select("page_id", "why", "path")
@@ -107,10 +112,11 @@ _TEXT = _decoded("regexp_replace(markup, '<[^>]*>', '', 'g')")
 ORACLES = {
     "subtree_counts": _counted(),
     "element_text": f"WITH {_PARTS} SELECT page_id, {_ITEM} AS path, {_TEXT} AS content FROM item UNION ALL SELECT page_id, {_PARAGRAPH}, {_TEXT} FROM paragraph",
+    "list_markers": f"WITH {_PARTS} SELECT page_id, {_ITEM} AS path, NULL::VARCHAR AS ordinal, '- ' AS marker FROM item",
     "furniture_roots": " UNION ALL ".join(f"SELECT page_id, 'chrome' AS why, '{path}' AS path FROM pages WHERE contains(html, '{tag}')" for tag, path in _STANDS.items()),
     "utility_roots": _utility(),
     "content_candidates": f"WITH {_PARTS} SELECT page_id, purpose, 1::BIGINT AS rank, 'article' AS selector, '{_BODY} > article:nth-of-type(1)' AS path, len(regexp_extract_all(article, '<h[1-6]>'))::BIGINT AS headings, len(regexp_extract_all(article, '<a href='))::BIGINT AS links FROM part, (VALUES ('reading'), ('extraction')) t(purpose) WHERE length(article) > 30",
     "clean_paragraphs": f"WITH {_PARTS} SELECT page_id, count(*) AS paragraphs FROM paragraph GROUP BY page_id",
 }
 
-QUERIES = {f.__name__: f for f in (subtree_counts, element_text, furniture_roots, utility_roots, clean_paragraphs, content_candidates)}
+QUERIES = {f.__name__: f for f in (subtree_counts, element_text, list_markers, furniture_roots, utility_roots, clean_paragraphs, content_candidates)}

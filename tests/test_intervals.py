@@ -9,6 +9,7 @@ from leafmill.functions.chrome import Signals
 from leafmill.functions.dom import path_of
 from leafmill.functions.html_parser import parse
 from leafmill.functions.inspect import visible_chars
+from leafmill.functions.text import item_marker
 from leafmill.operators import corpus, furniture, intervals
 
 KEY = ["page_id"]
@@ -106,6 +107,16 @@ def test_utility_roots(nodes, trees):
     assert got == want and sum(want.values()) > 20
 
 
+def test_list_markers(spark):
+    lists = [
+        "<ol><li>a<li>b<ol reversed><li>x<li>y</ol><li>c</ol><ul><li>z</ul>", "<ol start=5 reversed><li value=9>a<li>b<li value=+2>c<li value=x>d</ol>", "<ol reversed><li>a<div><li>b</div><li value=9223372036854775807>c<li>d</ol>",
+        "<ol start=9223372036854775807><li>a<li>b</ol><ol start=99999999999999999999><li>a</ol><ol start=-3><li>a<p>t</p><li>b</ol>", "<li>loose<menu><li>m</menu>", "<ol start=' 4'><li>a</ol>", "",
+    ]
+    table = corpus.parse_nodes(spark.createDataFrame(list(enumerate(lists)), "page_id int, html string"))
+    got = {(r.page_id, r.path): r.marker for r in intervals.list_markers(table, KEY).collect()}
+    assert got == {(i, path_of(e)): item_marker(e) for i, h in enumerate(lists) for e in parse(h).elements() if e.tag == "li"}
+
+
 def test_one_exchange_and_no_join(nodes):
     for df in (intervals.subtree_counts(nodes, KEY), furniture.utility_roots(nodes, KEY), intervals.text_content(nodes, KEY, intervals.is_element("p"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
