@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions.extract import Output, Request, Selection
-from ..operators import corpus, relational
+from ..operators import corpus, relational, sealed
 from ..operators import selection as sel
 from ..sources.tables import kept
 from .slice_queries import html, pages
@@ -159,6 +159,25 @@ def sealed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run_plan(docs, plan, base_url="url").select("page_id", "is_result", "digest_sha256")
 
 
+def _plan(selector: str, selection: dict) -> dict:
+    return {
+        "interop_profile": "leafmill-v1", "schema_name": "leafmill.plan", "schema_version": 8, "strategy": {"kind": "css_selector", "selector": selector}, "selection": selection,
+        "output": {"kind": "text"}, "rendering": {"whitespace": "normalize", "rewrite_urls": False},
+    }
+
+
+def sealed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sealed headings, those of odd pages damaged afterwards: what the checks say of each."""
+    got = corpus.run_plan(html(spark, sf_dir), _plan("article > h1", {"mode": "single"}))
+    damaged = F.regexp_replace("document", '"candidate_count":1', '"candidate_count":2')
+    return sealed.checked(got.withColumn("document", F.when(F.col("page_id") % 2 == 1, damaged).otherwise(F.col("document")))).select("page_id", "is_result", "complaint")
+
+
+def sealed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each code occurs where every page is asked for its sixth link."""
+    return sealed.code_histogram(corpus.run_plan(html(spark, sf_dir), _plan("nav a", {"mode": "nth", "index": 6})))
+
+
 def inspect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of all pages (no SQL equivalent; counts that SQL can give are in inspect_counts)."""
     docs = pages(spark, sf_dir).select("page_id", "url", "html")
@@ -223,6 +242,8 @@ ORACLES = {
     "inspect_counts": f"SELECT page_id, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title, 'html' AS root_tag, len(regexp_extract_all(html, '<a '))::BIGINT AS link_count, 0::BIGINT AS image_count, 0::BIGINT AS form_count, 0::BIGINT AS table_count, 1::BIGINT AS script_count, 1::BIGINT AS style_count FROM pages",
     "inspect_headings": f"SELECT page_id, 1 AS level, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '\\s+', ' ', 'g')) AS text, {_PATH}article:nth-of-type(1) > h1:nth-of-type(1)' AS path FROM pages",
     "sql_functions": f"SELECT l.page_id, l.href, i AS item, h[i][5:-6] AS value FROM (SELECT page_id, href FROM ({_LINKS}) WHERE link_index = 1) l JOIN (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li>.*?</li>') AS h FROM pages)) m USING (page_id)",
+    "sealed_checks": "SELECT page_id, true AS is_result, CASE WHEN page_id % 2 = 1 THEN 'digest_mismatch' END AS complaint FROM pages",
+    "sealed_codes": "SELECT code, count(*) AS count FROM pages, (VALUES ('no_match'), ('MATCH_INDEX_OUT_OF_RANGE')) t(code) WHERE len(regexp_extract_all(html, '<a href=')) < 6 GROUP BY code",
     "rendered_nav": f"SELECT page_id, 1::BIGINT AS match_index, string_agg('- ' || {_plain('label')} || ' [' || {_plain('href')} || ']', chr(10) ORDER BY link_index) AS text FROM ({_LINKS}) GROUP BY page_id",
 }
 
@@ -235,6 +256,6 @@ QUERIES = {
     for f in (
         select_nav_links, select_nth_link, select_attr_meta_charset, select_style_inner_html, select_script_inner_html, select_item_outer_html, select_first_heading, select_missing_attr_diag,
         invalid_selector_diag, doc_title, link_resolve, link_labels, tag_histogram, class_histogram, corpus_tags, relational_nav_links, relational_siblings, relational_not_has, multi_select,
-        slice_regex_exact, slice_attribute, slice_splits_markup, rendered_article, rendered_nav, sealed_results, node_table, inspect_pages, inspect_counts, inspect_headings, sql_functions,
+        slice_regex_exact, slice_attribute, slice_splits_markup, rendered_article, rendered_nav, sealed_results, sealed_checks, sealed_codes, node_table, inspect_pages, inspect_counts, inspect_headings, sql_functions,
     )
 }
