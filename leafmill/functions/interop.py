@@ -11,7 +11,7 @@ import hashlib
 import json
 
 from . import urls
-from .extract import Canonical, Output, Plan, Request, Selection
+from .extract import MAX_BYTES, Canonical, Output, Plan, Request, Selection
 
 VERSIONS = {"plan": 8, "result": 9, "error": 3}
 SEMANTICS = 4
@@ -82,13 +82,13 @@ def request_of(plan: dict) -> Request:
 class Sealed:
     """A checked plan that runs on documents and seals what it gets."""
 
-    def __init__(self, plan: dict | str):
+    def __init__(self, plan: dict | str, max_bytes: int = MAX_BYTES):
         self.plan = json.loads(plan) if isinstance(plan, str) else plan
         self.prefix = str(self.plan.get("schema_name", "")).rpartition(".")[0]
         self.digest, self.wrong = digest(self.plan), complaint(self.plan)
         strategy = self.plan.get("strategy", {})
         self.kind = strategy.get("kind") if isinstance(strategy, dict) else None
-        self.compiled = None if self.wrong else Plan(request_of(self.plan))
+        self.compiled = None if self.wrong else Plan(request_of(self.plan).with_values(max_bytes=max_bytes))
 
     def _seal(self, kind: str, body: dict) -> dict:
         body = {"interop_profile": self.plan.get("interop_profile"), "plan_digest_sha256": self.digest, "schema_name": f"{self.prefix}.{kind}", "schema_version": VERSIONS[kind], "strategy_kind": self.kind} | body
@@ -97,11 +97,11 @@ class Sealed:
     def _error(self, code: str, message: str, details: dict, diagnostics: list[dict]) -> dict:
         return self._seal("error", {"error_code": code, "message": message, "details": details, "diagnostics": diagnostics})
 
-    def run(self, html: str, input_base_url: str | None = None, label: str = "memory") -> dict:
-        """A sealed result, or a sealed error."""
+    def run(self, html: str, input_base_url: str | None = None, label: str = "memory", size: int | None = None) -> dict:
+        """A sealed result, or a sealed error; ``size`` in bytes, if the text was held back because of it."""
         if self.wrong:
             return self._error("plan_invalid", self.wrong, {"contract_error": self.wrong}, [])
-        got = self.compiled.run(html, input_base_url, label)
+        got = self.compiled.run(html, input_base_url, label, size=size)
         said = [{k: v for k, v in d.items() if v is not None} for d in got["diagnostics"]]
         if not got["ok"]:
             first = next(d for d in got["diagnostics"] if d["level"] == "error")

@@ -134,8 +134,8 @@ def diagnostics(results: DataFrame) -> DataFrame:
     return results.select(*keys, F.inline("diagnostics"))
 
 
-def run_plan(docs: DataFrame, plan: dict | str, html: str = "html", base_url: str | None = None, label: str | None = None) -> DataFrame:
-    """Each document's sealed result or error as stable JSON, with its digest and whether it is a result."""
+def run_plan(docs: DataFrame, plan: dict | str, html: str = "html", base_url: str | None = None, label: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Each document's sealed result or error as stable JSON, with its digest and whether it is a result; texts over ``max_bytes`` don't cross into Python."""
     ship(docs.sparkSession)
     keys = _keys(docs, html, base_url)
     text = stable_json(json.loads(plan) if isinstance(plan, str) else plan)
@@ -143,20 +143,21 @@ def run_plan(docs: DataFrame, plan: dict | str, html: str = "html", base_url: st
     names = [f.name for f in keys]
 
     def run(row: dict) -> Iterator[dict]:
-        got = _sealed(text).run(row[html] or "", row[base_url] if base_url else None, str(row[label]) if label else "memory")
+        got = _sealed(text, max_bytes).run(row[html] or "", row[base_url] if base_url else None, str(row[label]) if label else "memory", row[size])
         good = "result_digest_sha256" in got
         yield {k: row[k] for k in names} | {"is_result": good, "digest_sha256": got["result_digest_sha256" if good else "error_digest_sha256"], "document": stable_json(got)}
 
-    return docs.mapInArrow(_batches(run, schema), schema)
+    known, size = measured(docs, html, max_bytes)
+    return known.mapInArrow(_batches(run, schema), schema)
 
 
-_seals: dict[str, Sealed] = {}
+_seals: dict[tuple[str, int], Sealed] = {}
 
 
-def _sealed(text: str) -> Sealed:
-    if text not in _seals:
-        _seals[text] = Sealed(text)
-    return _seals[text]
+def _sealed(text: str, max_bytes: int) -> Sealed:
+    if (text, max_bytes) not in _seals:
+        _seals[text, max_bytes] = Sealed(text, max_bytes)
+    return _seals[text, max_bytes]
 
 
 def node_rows(document: Document, paths: bool = True) -> list[dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus
+from ..operators import columns, corpus
 from ..operators import native_slices as ns
 from ..operators import selection as sel
 
@@ -102,14 +102,11 @@ def byte_limit_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def looks_like_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", F.lower(F.ltrim("html")).rlike("^(<!doctype|<html)").alias("is_document"))
+    return pages(spark, sf_dir).select("page_id", columns.looks_like_document(F.col("html")).alias("is_document"))
 
 
 def format_byte_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.octet_length("html").cast("long")
-    tenths = F.floor((n * 10 + 512) / 1024)
-    kib = F.concat(F.floor(tenths / 10).cast("string"), F.when(tenths % 10 > 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(""), F.lit(" KiB"))
-    return pages(spark, sf_dir).select("page_id", F.when(n >= 1024, kib).when(n == 1, "1 byte").otherwise(F.concat(n.cast("string"), F.lit(" bytes"))).alias("shown"))
+    return pages(spark, sf_dir).select("page_id", columns.byte_size(F.octet_length("html")).alias("shown"))
 
 
 def sha256_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +114,7 @@ def sha256_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), r"\?.*$", "?[redacted]")
-    return pages(spark, sf_dir).select("page_id", shown.alias("shown"))
+    return pages(spark, sf_dir).select("page_id", columns.redacted(F.col("url")).alias("shown"))
 
 
 def lang_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
