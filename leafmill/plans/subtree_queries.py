@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, corpus, furniture, intervals
+from ..operators import candidates, corpus, furniture, intervals, selectors
 from ..sources.tables import kept
 from .dom_queries import _plain
 from .slice_queries import html, pages
@@ -35,6 +35,11 @@ def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.list_markers(_nodes(spark, sf_dir), KEY).select("page_id", "path", "ordinal", "marker")
 
 
+def recommended_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest usual selector of each element."""
+    return selectors.recommended(_nodes(spark, sf_dir), KEY, ~F.col("tag").isin(*INLINE)).select("page_id", "path", "selector")
+
+
 def furniture_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where page furniture and hidden parts begin."""
     return furniture.roots(_nodes(spark, sf_dir), KEY).select("page_id", "why", "path")
@@ -95,6 +100,17 @@ def _counted() -> str:
     return f"WITH {_PARTS} {' UNION ALL '.join(rows)}"
 
 
+def _selectors() -> str:
+    """An element that its markup has once goes by its tag, or by its class; list items, their links and paragraphs by their paths if there are several."""
+    alone = lambda path, tag: f"SELECT page_id, '{path}' AS path, '{tag}' AS selector FROM pages WHERE len(regexp_extract_all(html, '<{tag.split('.')[0]}[ >]')) = 1"
+    body = {"nav": "nav", "nav:nth-of-type(1) > ul": "ul", "div": "div.ad", "article": "article", "article:nth-of-type(1) > h1": "h1", "footer": "footer"}
+    rows = [alone(_ROOT, "html"), alone(_BODY, "body"), alone(f"{_ROOT} > head:nth-of-type(1)", "head")] + [alone(f"{_ROOT} > head:nth-of-type(1) > {t}:nth-of-type(1)", t) for t in ("meta", "title", "style", "script")]
+    rows += [alone(f"{_BODY} > {path}:nth-of-type(1)", selector) for path, selector in body.items()]
+    several = lambda path, tag, of: f"SELECT page_id, {path} AS path, CASE WHEN count(*) OVER (PARTITION BY page_id) = 1 THEN '{tag}' ELSE {path} END FROM {of}"
+    rows += [several(_ITEM, "li", "item"), several(f"{_ITEM} || ' > a:nth-of-type(1)'", "a", "item"), several(_PARAGRAPH, "p", "paragraph")]
+    return f"WITH {_PARTS} {' UNION ALL '.join(rows)}"
+
+
 def _utility() -> str:
     """Furniture on the given pages: the meta element, the navigation, boxes of class ad and the footer, if the markup has them."""
     has = "(len(regexp_extract_all(html, '<meta ')) + {0})"
@@ -112,6 +128,7 @@ _TEXT = _decoded("regexp_replace(markup, '<[^>]*>', '', 'g')")
 ORACLES = {
     "subtree_counts": _counted(),
     "element_text": f"WITH {_PARTS} SELECT page_id, {_ITEM} AS path, {_TEXT} AS content FROM item UNION ALL SELECT page_id, {_PARAGRAPH}, {_TEXT} FROM paragraph",
+    "recommended_selectors": _selectors(),
     "list_markers": f"WITH {_PARTS} SELECT page_id, {_ITEM} AS path, NULL::VARCHAR AS ordinal, '- ' AS marker FROM item",
     "furniture_roots": " UNION ALL ".join(f"SELECT page_id, 'chrome' AS why, '{path}' AS path FROM pages WHERE contains(html, '{tag}')" for tag, path in _STANDS.items()),
     "utility_roots": _utility(),
@@ -119,4 +136,4 @@ ORACLES = {
     "clean_paragraphs": f"WITH {_PARTS} SELECT page_id, count(*) AS paragraphs FROM paragraph GROUP BY page_id",
 }
 
-QUERIES = {f.__name__: f for f in (subtree_counts, element_text, list_markers, furniture_roots, utility_roots, clean_paragraphs, content_candidates)}
+QUERIES = {f.__name__: f for f in (subtree_counts, element_text, list_markers, recommended_selectors, furniture_roots, utility_roots, clean_paragraphs, content_candidates)}
