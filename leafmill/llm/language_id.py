@@ -3,8 +3,9 @@
 N-grams of 2 and 3 characters (letters in lower case, anything else a space) are hashed to
 ``FEATURES`` columns. Document frequencies are exact counts over all documents of the
 learning folds. Weights are learnt by follow-the-regularised-leader with elastic-net
-penalties on at most ``SAMPLE`` labelled documents, about as many of each language; a fifth
-of them sets the temperature of the softmax instead. Values are shares of a text's n-grams
+penalties on at most about ``SAMPLE`` labelled documents, about as many of each of the ``SAMPLE`` most frequent languages
+(others are not learnt); a fifth of them sets the temperature of the softmax instead. Their n-grams are counted on
+the executors: what comes to the driver is at most six bytes a feature and sampled document, never a text. Values are shares of a text's n-grams
 times inverse document frequency, so a prediction is one gather and one sum over a
 whole text.
 
@@ -99,23 +100,40 @@ def _solve(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The features of a text and how often it has each; None without a letter."""
+    if (g := grams(text)) is None:
+        return None
+    f, n = np.unique(g, return_counts=True)
+    return f.astype(np.uint16), n.astype(np.uint32)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [counted(t.as_py()) for t in batch.column(1)]
+        some = pa.array([c is not None for c in found])
+        columns = [pa.array([c[i].tobytes() for c in found if c is not None], pa.binary()) for i in (0, 1)]
+        yield pa.record_batch([batch.column(0).filter(some), batch.column(2).filter(some), *columns], ["doc_id", "lang", "features", "counts"])
+
+
 def train(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Learn from (text, lang) rows, in the order given; every fifth row sets the temperature."""
-    data = []
-    for text, lang in rows:
-        if (g := grams(text)) is not None:
-            f, n = np.unique(g, return_counts=True)
-            data.append((f, SCALE * idf[f] * n / len(g), lang))
+    return learn([(c, lang) for text, lang in rows if (c := counted(text)) is not None], idf, epochs)
+
+
+def learn(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """The same from rows whose n-grams are counted."""
+    data = [(f.astype(np.int64), SCALE * idf[f] * n / n.sum(), lang) for (f, n), lang in rows]
     langs = sorted({lang for *_, lang in data})
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros(0))
     k = len(langs)
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
-    learn, tune = [d for i, d in enumerate(data) if i % 5] or data, data[::5]
+    taught, tune = [d for i, d in enumerate(data) if i % 5] or data, data[::5]
     order = np.random.default_rng(4)
     for _ in range(epochs):
-        for i in order.permutation(len(learn)):
-            f, v, lang = learn[i]
+        for i in order.permutation(len(taught)):
+            f, v, lang = taught[i]
             at, x = np.append(f, FEATURES), np.append(v, 1.0)
             w = _solve(z[at], n[at])
             s = x @ w
@@ -146,12 +164,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     each = max(1, sample // max(1, len(sizes)))
-    picked = None  # the share of each language's rows, by a hash of doc_id
-    for lang, n in sizes.items():
-        one = (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(min(1.0, each / n) * 1_000_000_000))
-        picked = one if picked is None else picked | one
-    got = [] if picked is None else rows.where(picked).select("doc_id", "text", "lang").limit(2 * sample).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))], idf)
+    shares = [(lang, int(min(1.0, each / n) * 1_000_000_000)) for lang, n in sizes.items()]  # by a hash of doc_id; at most ``sample`` rows
+    table = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
+    picked = rows.join(table, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < F.col("share")).select("doc_id", "text", "lang").limit(2 * sample)
+    got = picked.mapInArrow(_counts, "doc_id long, lang string, features binary, counts binary").collect()
+    ordered = sorted(got, key=lambda r: (r["doc_id"], bytes(r["features"]), bytes(r["counts"])))
+    return learn([((np.frombuffer(r["features"], np.uint16), np.frombuffer(r["counts"], np.uint32)), r["lang"]) for r in ordered], idf)
 
 
 def _predicted(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
