@@ -16,7 +16,7 @@ from .functions.extract import MAX_BYTES, RETENTION, VALUES, Output, Plan, Reque
 from .functions.inspect import inspect
 from .functions.interop import stable_json
 from .functions.suggest import hint
-from .operators.schemas import OPERATIONS, SCHEMAS
+from .operators.schemas import OPERATIONS, SCHEMAS, json_schema
 from .sources.http import fetch
 from .sources.readers import DefinitionError, definition_of, request_of
 
@@ -215,7 +215,7 @@ def parser() -> argparse.ArgumentParser:
     p = commands.add_parser("schema")
     p.add_argument("--name")
     p.add_argument("--schema-version", type=int)
-    p.add_argument("--output", choices=["text", "json"], default="text")
+    p.add_argument("--output", choices=["text", "json", "document"], default="text")
     return top
 
 
@@ -243,6 +243,8 @@ def run(argv: list[str]) -> str:
             raise Failure(USAGE, "schema_unknown", f"unknown schema {args.name}." + (f" Versions: {versions}." if versions else hint(args.name, sorted({n for n, _, _ in SCHEMAS}))))
         if args.output == "json":
             return _listed("schema_report", "schemas", ("schema_name", "schema_version", "owner"), found)
+        if args.output == "document":
+            return json.dumps(json_schema(found[0][0]) if len(found) == 1 else [json_schema(n) for n, _, _ in found], ensure_ascii=False, indent=2)
         return "\n".join(f"{name}@{version} ({owner})" for name, version, owner in found)
     if getattr(args, "look", None) == "source":
         text, _, base = _load(args)

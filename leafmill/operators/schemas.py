@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.extract import Output
+
 RANGE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 DIAGNOSTIC = T.StructType([T.StructField(n, T.StringType()) for n in ("level", "code", "message", "details")])
 METADATA = T.StructType([
@@ -61,3 +63,65 @@ INSPECTION = T.StructType([
     T.StructField("extraction_candidates", T.ArrayType(CANDIDATE)), T.StructField("reading_candidates", T.ArrayType(CANDIDATE)), T.StructField("headings", T.ArrayType(HEADING)), T.StructField("links", T.ArrayType(LINK)),
     T.StructField("diagnostics", T.ArrayType(DIAGNOSTIC)),
 ])
+
+#: Shapes of documents: a name of a type, a list of one shape, or a record of shapes.
+Shape = str | list | dict
+_NAME = {"schema_name": "string", "schema_version": "integer"}
+_EXTRACTION = {
+    "strategy": "string", "selector": "string", "pattern": {"mode": "string", "from": "string", "to": "string", "flags": "string"}, "boundary_retention": "string",
+    "selection": {"type": "string", "index": "integer"}, "value": {"type": "string", "name": "string"},
+}
+_SHOWN = {f: {bool: "boolean", int: "integer"}.get(type(v), "string") if not isinstance(v, (tuple, frozenset)) else ["string"] for f, v in vars(Output()).items()}
+_REQUEST = {"spec_version": "integer", "extraction": _EXTRACTION, "output": _SHOWN, "source": {"kind": "string", "value": "string", "base_url": "string"}}
+_SAID = [{"level": "string", "code": "string", "message": "string", "details": "any"}]
+_SEAL = {"interop_profile": "string", **_NAME, "plan_digest_sha256": "string", "strategy_kind": "string", "diagnostics": _SAID}
+_TEXTS = {n: "string" for n in ("text_output", "plain_text_output", "inner_html_output", "outer_html_output", "selected_html_output", "comparison_text_output", "comparison_plain_text_output")}
+_LISTED = {**_NAME, "owner": "string"}
+#: Documents that are read refuse fields that are not theirs.
+READ: dict[str, Shape] = {
+    "source_request": _REQUEST["source"], "inspection_options": {"include_source_text": "boolean", "sample_limit": "integer"},
+    "runtime_options": {"max_bytes": "integer", "fetch_timeout_ms": "integer", "fetch_connect_timeout_ms": "integer", "fetch_preflight": "string", "tls_trust": {"kind": "string", "path": "string"}},
+    "extraction_request": _REQUEST, "extraction_definition": {**_NAME, "request": _REQUEST, "runtime": {"max_bytes": "integer"}},
+    "plan": {
+        "interop_profile": "string", **_NAME, "strategy": {"kind": "string", "selector": "string", "start": "string", "end": "string", "mode": "string", "flags": ["string"], "boundary_retention": "string"},
+        "selection": {"mode": "string", "index": "integer"}, "output": {"kind": "string", "name": "string"},
+        "rendering": {"whitespace": "string", "rewrite_urls": "boolean"}, "dom_canonicalization": {"ignore_attributes": ["string"], "strip_whitespace_nodes": "boolean"},
+    },
+}
+#: Documents that are written; results have the Spark types of their rows.
+WRITTEN: dict[str, Shape | T.StructType] = {
+    "extraction_result": RESULT, "source_inspection_result": INSPECTION, "extraction_report": RESULT, "source_inspection_report": INSPECTION,
+    "result": {
+        **_SEAL, "result_digest_sha256": "string", "candidate_count": "integer", "selection_mode": "string", "output": {"kind": "string", "name": "string"},
+        "source": {"input_base_url": "string", "effective_base_url": "string", "document_title": "string"}, "selected_matches": [{"candidate_index": "integer", "metadata": "any", "output_value": "any", **_TEXTS}],
+    },
+    "error": {**_SEAL, "error_digest_sha256": "string", "error_code": "string", "message": "string", "details": "any"}, "error_report": {"code": "string", "message": "string", "hint": "string"},
+    "catalog_report": {**_NAME, "operations": [{"operation_id": "string", "description": "string", "command": "string"}]},
+    "schema_report": {**_NAME, "schemas": [{**_LISTED, "json_schema": "any"}]}, "schema_inventory_report": {**_NAME, "schemas": [_LISTED]},
+}
+
+
+def _shape(kind: T.DataType) -> Shape:
+    if isinstance(kind, T.StructType):
+        return {f.name: _shape(f.dataType) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [_shape(kind.elementType)]
+    if isinstance(kind, T.MapType):
+        return "map"
+    return {"string": "string", "boolean": "boolean"}.get(kind.typeName(), "integer")
+
+
+def _described(shape: Shape, closed: bool) -> dict:
+    if isinstance(shape, dict):
+        return {"type": ["object", "null"], "properties": {n: _described(x, closed) for n, x in shape.items()}} | ({"additionalProperties": False} if closed else {})
+    if isinstance(shape, list):
+        return {"type": ["array", "null"], "items": _described(shape[0], closed)}
+    return {"any": {}, "map": {"type": ["object", "null"], "additionalProperties": {"type": "string"}}}.get(shape, {"type": [shape, "null"]})
+
+
+def json_schema(name: str) -> dict:
+    """The JSON Schema document of a schema of the catalog."""
+    version = next(v for n, v, _ in SCHEMAS if n == name)
+    shape = READ[name] if name in READ else WRITTEN[name]
+    shape = _shape(shape) if isinstance(shape, T.StructType) else shape
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "$id": f"urn:leafmill:{name}@{version}", "title": name.replace("_", " ")} | _described(shape, name in READ) | {"type": "object"}

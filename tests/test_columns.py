@@ -1,10 +1,16 @@
 """Column forms against the row functions they stand for."""
 
-from leafmill.functions import urls
-from leafmill.functions.extract import byte_size, looks_like_document
-from leafmill.operators import columns, corpus
+import json
+
 from pyspark.sql import functions as F
 
+from leafmill import cli
+from leafmill.functions import urls
+from leafmill.functions.extract import Output, Request, byte_size, looks_like_document
+from leafmill.functions.interop import Sealed
+from leafmill.operators import columns, corpus, schemas
+from leafmill.sources import readers
+
 
 def test_columns_equal_row_functions(spark):
     sizes = [0, 1, 2, 1023, 1024, 1025, 1075, 1076, 10_189, 2**20 - 1, 2**20, 2**20 + 60_000, 5 * 2**20, 52_428_800, 2**30, 3 * 2**30 + 2**29, 2**45]
@@ -18,6 +24,24 @@ def test_columns_equal_row_functions(spark):
     assert {r.u: r.r for r in got} == {u: urls.redacted(u) for u in links}
 
 
+def test_json_schemas_describe_what_is_read_and_written(spark, capsys):
+    assert {n for n, _, _ in schemas.SCHEMAS} == schemas.READ.keys() | schemas.WRITTEN.keys()
+    plan, result = schemas.json_schema("plan"), schemas.json_schema("result")
+    assert plan["additionalProperties"] is False and plan["properties"]["rendering"]["properties"]["rewrite_urls"] == {"type": ["boolean", "null"]} and "additionalProperties" not in result
+    assert schemas.json_schema("extraction_result")["properties"]["matches"]["items"]["properties"]["index"] == {"type": ["integer", "null"]}
+    sealed = Sealed({"interop_profile": "p", "schema_name": "p.plan", "schema_version": 8, "strategy": {"kind": "css_selector", "selector": "p"}, "output": {"kind": "text"}})
+    good, bad = sealed.run("<p>x"), sealed.run("")
+    assert good.keys() <= result["properties"].keys() and bad.keys() <= schemas.json_schema("error")["properties"].keys()
+    assert good["selected_matches"][0].keys() <= result["properties"]["selected_matches"]["items"]["properties"].keys()
+    known = schemas.json_schema("extraction_definition")["properties"]
+    for request in (Request(selector="p", value="attribute", attribute="x"), Request(start="a", end="b", regex=True, flags="i", retention="include-both", max_bytes=9, output=Output("rendered", preview_chars=9))):
+        definition = readers.definition_of(request)
+        assert definition.keys() <= known.keys() and definition["request"].keys() <= known["request"]["properties"].keys()
+        for part in ("extraction", "output"):
+            assert definition["request"].get(part, {}).keys() <= known["request"]["properties"][part]["properties"].keys()
+    assert cli.main(["schema", "--name", "plan", "--output", "document"]) == 0 and json.loads(capsys.readouterr().out) == plan
+
+
 def test_plans_hold_large_texts_back(spark):
     plan = {
         "interop_profile": "p-v1", "schema_name": "p.plan", "schema_version": 8, "strategy": {"kind": "css_selector", "selector": "p"}, "selection": {"mode": "first"},
