@@ -132,7 +132,8 @@ ORACLES = {
     "list_markers": f"WITH {_PARTS} SELECT page_id, {_ITEM} AS path, NULL::VARCHAR AS ordinal, '- ' AS marker FROM item",
     "furniture_roots": " UNION ALL ".join(f"SELECT page_id, 'chrome' AS why, '{path}' AS path FROM pages WHERE contains(html, '{tag}')" for tag, path in _STANDS.items()),
     "utility_roots": _utility(),
-    "content_candidates": f"WITH {_PARTS} SELECT page_id, purpose, 1::BIGINT AS rank, 'article' AS selector, '{_BODY} > article:nth-of-type(1)' AS path, len(regexp_extract_all(article, '<h[1-6]>'))::BIGINT AS headings, len(regexp_extract_all(article, '<a href='))::BIGINT AS links FROM part, (VALUES ('reading'), ('extraction')) t(purpose) WHERE length(article) > 30",
+    # a page whose article is a short heading, repeated as its only paragraph, has too little text to be a candidate
+    "content_candidates": f"WITH {_PARTS} SELECT page_id, purpose, 1::BIGINT AS rank, 'article' AS selector, '{_BODY} > article:nth-of-type(1)' AS path, len(regexp_extract_all(article, '<h[1-6]>'))::BIGINT AS headings, len(regexp_extract_all(article, '<a href='))::BIGINT AS links FROM part, (VALUES ('reading'), ('extraction')) t(purpose) WHERE length(h1) >= 18 OR {_visible('article')} >= 2 * length(h1) + 22",
     "clean_paragraphs": f"WITH {_PARTS} SELECT page_id, count(*) AS paragraphs FROM paragraph GROUP BY page_id",
 }
 
