@@ -13,8 +13,8 @@
    less the expected share of chance collisions (which the lengths of the registers and the sizes of
    the sets give). The margin is ``SIGMAS`` standard deviations, so that a pair that links stays with
    about the same certainty as in the bands.
-4. Larger groups have pivots, and what is left of them meets by bounds, as in :mod:`ngram_join`, whose exact
-   counting over fragments of the full sets confirms every link. Components are those of the confirmed links.
+4. Larger groups have pivots, and what is left of them meets by bounds, as in :mod:`ngram_join`; every link is confirmed by
+   counting what the full sets have in common, once a pair. Components are those of the confirmed links.
 
 No pair, candidate or partner is capped. Null, empty or wordless texts have an empty set and link with nothing;
 each is its own component. Rows without a doc_id get a component only through others' ids (null if there are none)
@@ -130,7 +130,7 @@ class Sketched(Join):
         each = first.where("n > 0").groupBy("cls").agg(least, F.max("n").alias("n"), F.min("sketch").alias("sketch"))
         self.sketches = saved(each.select("cls", "least.rep", "least.rep_key", "n", "sketch"), "classes")
         self.classes = self.sketches.select("cls", "rep", "rep_key")
-        self.order = self.spark.sparkContext.broadcast(Order(np.ones(1 << BUCKET_BITS, np.int64)))  # fragments are ranges of hashes
+        self.order = self.spark.sparkContext.broadcast(Order(np.ones(1 << BUCKET_BITS, np.int64), 1))  # sets are compared whole
 
     def entries(self) -> DataFrame:
         """Bands that more than one class has: gram (the band's number and registers), cls, k (classes of the group), n and company."""

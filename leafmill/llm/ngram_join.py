@@ -97,13 +97,14 @@ def _measured(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 class Order:
     """The global order: a rank for every bucket, and the first rank of each fragment but the first."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, fragments: int = FRAGMENTS):
+        self.fragments = fragments
         by_rank = np.argsort(counts, kind="stable")
         rank = np.empty(len(counts), np.uint32)
         rank[by_rank] = np.arange(len(counts), dtype=np.uint32)
         upto = np.cumsum(counts[by_rank])
         self.hot = int(np.searchsorted(counts[by_rank], HOT * max(1.0, counts.mean()), "right"))  # first rank of buckets that are far too full
-        self.cuts = np.searchsorted(upto, upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
+        self.cuts = np.searchsorted(upto, upto[-1] * np.arange(1, fragments) / fragments)
         self.packed = zlib.compress(rank.tobytes(), 1)
 
     def ranks(self) -> np.ndarray:
@@ -194,7 +195,7 @@ def _segments(order, bloom, words: int) -> Callable[[Iterator[pa.RecordBatch]],
             for grams in shingle_sets(batch.column(1).filter(pa.array(want, pa.bool_())).to_pylist(), words):
                 if len(grams):
                     key, frag = set_key(grams), np.searchsorted(cuts, rank[_bucket(grams)], "right")
-                    for f in range(FRAGMENTS):
+                    for f in range(order.value.fragments):
                         keys.append(key)
                         frags.append(f)
                         parts.append(grams[frag == f].view(np.int64))
