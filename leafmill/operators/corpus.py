@@ -8,7 +8,7 @@ number of plans runs on them; everything across documents is relational.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +31,16 @@ def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return docs.repartition(partitions) if partitions else docs
 
 
+#: A task of a plan that takes documents whole has about so many bytes of markup; a document counts as so many more, for the nodes that every tree has.
+DEALT_BYTES, EACH_BYTES = 4 << 20, 512
+
+
+def dealt(nodes: DataFrame, docs: DataFrame, by: Sequence[str], html: str = "html") -> DataFrame:
+    """``nodes`` of ``docs`` exchanged by document over as many tasks as the markup needs, counted in a pass over it: what a task sorts and holds does not grow with the corpus."""
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(html), F.lit(0)).cast("long") + EACH_BYTES)).first()[0] or 0
+    return nodes.repartition(max(-(-total // DEALT_BYTES), docs.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def _batches(run: Callable[[dict], Iterator[dict]], schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function over Arrow batches from one over rows; batches go out in bounded pieces."""
 
@@ -189,8 +199,11 @@ def node_rows(document: Document, paths: bool = True) -> list[dict]:
     return out
 
 
-def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partitions: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The node table: the other columns of ``docs`` and one row per node; none for documents that :func:`oversized` tells."""
+def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partitions: int | None = None, max_bytes: int = MAX_BYTES, by: Sequence[str] | None = None) -> DataFrame:
+    """The node table: the other columns of ``docs`` and one row per node; none for documents that :func:`oversized` tells.
+
+    With ``by``, the key of a document, nodes are :func:`dealt` for plans with windows over documents.
+    """
     docs = docs.where(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) <= max_bytes)
     ship(docs.sparkSession)
     keys = _keys(docs, html, None)
@@ -201,7 +214,8 @@ def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partiti
         own = {k: row[k] for k in names}
         return (own | r for r in node_rows(parsed(row[html] or ""), paths))
 
-    return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
+    nodes = spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
+    return dealt(nodes, docs, by, html) if by else nodes
 
 
 def links(docs: DataFrame, html: str = "html", base_url: str | None = None, partitions: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -16,7 +16,7 @@ INLINE = ("b", "br")
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.parse_nodes(html(spark, sf_dir))
+    return corpus.parse_nodes(html(spark, sf_dir), by=KEY)
 
 
 def subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
