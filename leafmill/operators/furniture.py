@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chrome import CONTENT, CONTROLS, FOOTER, LAYOUT, NAMED, PARAGRAPHS, RICH, ROLES, STRONG, UTILITY
-from .intervals import _SPACE, HEADINGS, inside, is_element, maximal, tour
+from .intervals import _SPACE, HEADINGS, inside, is_element, tour
 
 #: A box with a link or two is a widget up to so many characters; content is looked for in so many elements.
 WIDGET_CHARS, LOOKED_AT = 64, 256
@@ -103,8 +103,10 @@ def clean(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 def roots(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The roots of furniture (``why`` is chrome) and of what is hidden: keys, node_id, tag, path, why."""
     found = marked(nodes, keys)
-    one = lambda name: maximal(found, keys, F.col(name)).select(*keys, "node_id", "tag", "path", F.lit(name).alias("why"))
-    return one("chrome").unionByName(one("hidden"))
+    for name in (said := ("chrome", "hidden")):  # windows of one kind, so that nodes are marked and sorted once for both
+        found = inside(found, keys, F.col(name), f"_in_{name}")
+    why = F.array_compact(F.array(*[F.when(F.col(name) & ~F.col(f"_in_{name}"), name) for name in said]))
+    return found.select(*keys, "node_id", "tag", "path", F.explode(why).alias("why"))
 
 
 def utility_roots(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
