@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import corpus
 from leafmill.plans import registry
 
-DEALT = ["utility_roots", "furniture_roots", "clean_paragraphs"]
+DEALT = ["utility_roots", "furniture_roots", "clean_paragraphs", "subtree_counts"]
 
 
 @pytest.mark.parametrize("name", DEALT)
