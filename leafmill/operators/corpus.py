@@ -35,10 +35,10 @@ def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 DEALT_BYTES, EACH_BYTES = 4 << 20, 512
 
 
-def dealt(nodes: DataFrame, docs: DataFrame, by: Sequence[str], html: str = "html") -> DataFrame:
-    """``nodes`` of ``docs`` exchanged by document over as many tasks as the markup needs, counted in a pass over it: what a task sorts and holds does not grow with the corpus."""
+def tasks_of(docs: DataFrame, html: str = "html") -> int:
+    """How many tasks the markup of ``docs`` needs, counted in a pass over it; one for each core at least."""
     total = docs.agg(F.sum(F.coalesce(F.octet_length(html), F.lit(0)).cast("long") + EACH_BYTES)).first()[0] or 0
-    return nodes.repartition(max(-(-total // DEALT_BYTES), docs.sparkSession.sparkContext.defaultParallelism), *by)
+    return max(-(-total // DEALT_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def _batches(run: Callable[[dict], Iterator[dict]], schema: T.StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -202,7 +202,8 @@ def node_rows(document: Document, paths: bool = True) -> list[dict]:
 def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partitions: int | None = None, max_bytes: int = MAX_BYTES, by: Sequence[str] | None = None) -> DataFrame:
     """The node table: the other columns of ``docs`` and one row per node; none for documents that :func:`oversized` tells.
 
-    With ``by``, the key of a document, nodes are :func:`dealt` for plans with windows over documents.
+    With ``by``, the key of a document, documents are dealt over :func:`tasks_of` them and their nodes over as many, for plans with windows over documents:
+    neither what a task parses and writes nor what it sorts and holds grows with the corpus or with the splits it is read in.
     """
     docs = docs.where(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) <= max_bytes)
     ship(docs.sparkSession)
@@ -214,8 +215,11 @@ def parse_nodes(docs: DataFrame, html: str = "html", paths: bool = True, partiti
         own = {k: row[k] for k in names}
         return (own | r for r in node_rows(parsed(row[html] or ""), paths))
 
-    nodes = spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
-    return dealt(nodes, docs, by, html) if by else nodes
+    if not by:
+        return spread(docs, partitions).mapInArrow(_batches(run, schema), schema)
+    tasks = tasks_of(docs, html)
+    whole = spread(docs, partitions) if partitions else docs.repartition(tasks, *by)
+    return whole.mapInArrow(_batches(run, schema), schema).repartition(tasks, *by)
 
 
 def links(docs: DataFrame, html: str = "html", base_url: str | None = None, partitions: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -23,3 +23,19 @@ def test_documents_without_markup_count(spark, monkeypatch):
     nodes = corpus.parse_nodes(docs, by=["id"])
     assert nodes.rdd.getNumPartitions() == 80 and nodes.select("id").distinct().count() == 400
     assert corpus.parse_nodes(docs.where("id < 0"), by=["id"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["clean_paragraphs"])
+def test_parsing_is_dealt_too(spark, sf_dir, monkeypatch, name):
+    """A task that parses a whole split holds the nodes of all of it when it writes them to more than 200 tasks."""
+    size = spark.read.parquet(f"{sf_dir}/pages.parquet").agg(F.sum(F.octet_length("html") + corpus.EACH_BYTES)).first()[0]
+    monkeypatch.setattr(corpus, "DEALT_BYTES", size // 64)
+    found, context = registry.queries()[name](spark, sf_dir), spark.sparkContext
+    context.setJobGroup(f"dealt-{name}", name)
+    try:
+        found.write.format("noop").mode("overwrite").save()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(f"dealt-{name}") for s in told.getJobInfo(j).stageIds}
+    assert sum(told.getStageInfo(s).numTasks >= 64 for s in stages if told.getStageInfo(s)) >= 2  # parsing, and the windows
