@@ -25,7 +25,7 @@ def test_documents_without_markup_count(spark, monkeypatch):
     assert corpus.parse_nodes(docs.where("id < 0"), by=["id"]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["clean_paragraphs"])
+@pytest.mark.parametrize("name", ["clean_paragraphs", "subtree_counts"])
 def test_parsing_is_dealt_too(spark, sf_dir, monkeypatch, name):
     """A task that parses a whole split holds the nodes of all of it when it writes them to more than 200 tasks."""
     size = spark.read.parquet(f"{sf_dir}/pages.parquet").agg(F.sum(F.octet_length("html") + corpus.EACH_BYTES)).first()[0]
