@@ -23,7 +23,7 @@ from ..functions.dom import Document, roomy
 from ..functions.extract import MAX_BYTES, parsed
 from ..functions.inspect import EXTRACTION, READING, RULES, SAMPLES, Inspector, Weights
 from ..functions.shipping import ship
-from ..sources.tables import kept
+from ..sources.tables import kept, met
 from .corpus import _batches, _keys, spread
 
 #: Times (two a node) in a block.
@@ -153,7 +153,7 @@ def nested(found: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFra
     at = lambda c: F.floor(F.col(c) / block)
     outer = found.select(*keys, *named("o_"), F.explode(F.sequence(at("pre"), at("post"))).alias("_block"))
     inner = found.select(*keys, *named("i_"), at("pre").alias("_block"))
-    return outer.join(inner, [*keys, "_block"]).where(Side("o_").holds(Side("i_"))).drop("_block")
+    return met(outer, inner, [*keys, "_block"]).where(Side("o_").holds(Side("i_"))).drop("_block")
 
 
 def nested_bias(found: DataFrame, keys: Sequence[str], reading: bool, block: int = BLOCK) -> DataFrame:
@@ -173,7 +173,7 @@ def ranked(found: DataFrame, keys: Sequence[str], reading: bool, limit: int = SA
     """Candidates of positive score with their final score and rank, the best ``limit`` of each document."""
     score = rated(READING) if reading else rated(EXTRACTION) + F.floor(F.greatest(rated(READING), F.lit(0).cast("long")) / 3)
     live = found.withColumn("score", score).where("score > 0")
-    moved = live.join(nested_bias(live, keys, reading, block), [*keys, "node_id"], "left").withColumn("score", F.col("score") + F.coalesce("shift", F.lit(0).cast("long"))).drop("shift")
+    moved = met(live, nested_bias(live, keys, reading, block), [*keys, "node_id"], "left").withColumn("score", F.col("score") + F.coalesce("shift", F.lit(0).cast("long"))).drop("shift")
     order = ["-score", "-chars", "-headings", "-stable", "selector"] if reading else ["-score", "links", "-stable", "-steps", "-chars", "selector"]
     by = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in (*order, "node_id")]
     return moved.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("long")).where(F.col("rank") <= limit)
@@ -187,17 +187,17 @@ def promoted(extraction: DataFrame, reading: DataFrame, keys: Sequence[str]) ->
     """
     whole = [*_ALL, "score", "rank"]
     one = lambda df, name: df.where("rank = 1").select(*keys, F.struct(*whole).alias(name))
-    state = one(extraction, "now").join(one(reading, "top"), list(keys), "left")
+    state = met(one(extraction, "now"), one(reading, "top"), keys, "left")
     c, now, top = Side("c."), Side("now."), Side("top.")
     same = now.node_id == top.node_id
     grade = F.when(c.tag == "div", 1).when(c.tag == "section", 2).when(c.tag == "main", 3).when(c.tag == "article", 4).otherwise(0).cast("long")
 
     def best(pool: Column, key: Column, highest: bool) -> DataFrame:
-        met = reading.select(*keys, F.struct(*whole).alias("c")).join(state, list(keys)).where(pool)
-        return met.groupBy(*keys).agg((F.max_by if highest else F.min_by)("c", key).alias("best"))
+        pairs = met(reading.select(*keys, F.struct(*whole).alias("c")), state, keys).where(pool)
+        return pairs.groupBy(*keys).agg((F.max_by if highest else F.min_by)("c", key).alias("best"))
 
     def lead(found: DataFrame, number: int) -> DataFrame:
-        led = state.join(found, list(keys), "left").withColumns({f"lead{number}": F.col("best"), "now": F.coalesce("best", "now")})
+        led = met(state, found, keys, "left").withColumns({f"lead{number}": F.col("best"), "now": F.coalesce("best", "now")})
         return led.drop("best")
 
     inside_top = same & (c.rank > 1) & top.holds(c) & (c.chars * 100 >= top.chars * 92) & ((c.headings + 2 >= top.headings) & (c.links <= top.links) | top.is_shell_of(c))
@@ -211,7 +211,7 @@ def promoted(extraction: DataFrame, reading: DataFrame, keys: Sequence[str]) ->
     leads = state.select(*keys, F.explode(F.filter(F.array(*[F.struct(F.lit(3 - n).cast("long").alias("place"), F.col(f"lead{n}").alias("c")) for n in (1, 2, 3)]), lambda x: x["c"].isNotNull())).alias("l"))
     rows = leads.select(*keys, "l.place", "l.c.*").unionByName(extraction.select(*keys, (F.col("rank") + 3).alias("place"), *whole))
     last = rows.withColumn("_least", F.min("place").over(Window.partitionBy(*keys, "node_id"))).where("place = _least").drop("_least")
-    instead = reading.join(extraction.select(*keys).distinct(), list(keys), "left_anti").withColumn("place", F.col("rank")).select(*keys, "place", *whole)
+    instead = met(reading, extraction.select(*keys).distinct(), keys, "left_anti").withColumn("place", F.col("rank")).select(*keys, "place", *whole)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("place")).cast("long")
     return last.unionByName(instead).withColumn("rank", place).drop("place")
 
