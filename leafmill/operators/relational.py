@@ -3,7 +3,7 @@
 A compound is a filter; combinators are semi joins from left to right: child on the parent's
 id, siblings on the parent and their ordinals, descendants on the document with the
 containment interval as a residual. ``:not`` is an anti join, ``:is`` a semi join on a union,
-``:has`` a semi join with the interval turned around. Catalyst picks the joins; each is keyed by the
+``:has`` a semi join with the interval turned around. All are exchanged and merged, none is broadcast; each is keyed by the
 document and the node or parent that it asks for, so joins with different keys exchange their narrow sides anew.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.css import FOLDED, Complex, Simple, parse
 from ..functions.html_tokens import lower
+from ..sources.tables import met
 
 _FOLD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -83,7 +84,7 @@ class Compiler:
         for c in simples:
             if c.kind in ("is", "not"):
                 found = self.any(c.inner).select(*self.keys, "node_id").distinct()
-                pool = pool.join(found, [*self.keys, "node_id"], "left_semi" if c.kind == "is" else "left_anti")
+                pool = met(pool, found, [*self.keys, "node_id"], "left_semi" if c.kind == "is" else "left_anti")
             elif c.kind == "has":
                 pool = self.has(c.inner, pool)
         return pool
@@ -101,7 +102,7 @@ class Compiler:
             "+": (F.col("parent_id") == F.col("_l_parent_id")) & (F.col("elem_ordinal") == F.col("_l_elem_ordinal") + 1),
             "~": (F.col("parent_id") == F.col("_l_parent_id")) & (F.col("elem_ordinal") > F.col("_l_elem_ordinal")),
         }[how]
-        return right.join(l, on, "left_semi")
+        return met(right, l, on, "left_semi")
 
     def complex(self, s: Complex) -> DataFrame:
         found = self.compound(s.compounds[-1], self.nodes)
@@ -121,7 +122,7 @@ class Compiler:
                 up = pool if simples and simples[0].kind == "anchor" else self.compound(simples, self.nodes)
                 found = self.back(how, up, found)
             marks.append(found.select(*self.keys, "node_id"))
-        return pool.join(reduce(DataFrame.union, marks).distinct(), [*self.keys, "node_id"], "left_semi")
+        return met(pool, reduce(DataFrame.union, marks).distinct(), [*self.keys, "node_id"], "left_semi")
 
     def back(self, how: str, left: DataFrame, right: DataFrame) -> DataFrame:
         r = right.select(*[F.col(k).alias(f"_r_{k}") for k in (*self.keys, "node_id", "parent_id", "pre", "post", "elem_ordinal")])
@@ -131,7 +132,7 @@ class Compiler:
             "+": (F.col("parent_id") == F.col("_r_parent_id")) & (F.col("_r_elem_ordinal") == F.col("elem_ordinal") + 1),
             "~": (F.col("parent_id") == F.col("_r_parent_id")) & (F.col("_r_elem_ordinal") > F.col("elem_ordinal")),
         }[how]
-        return left.join(r, on, "left_semi")
+        return met(left, r, on, "left_semi")
 
 
 def select(nodes: DataFrame, selector: str, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,10 +27,10 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def met(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def met(left: DataFrame, right: DataFrame, on: Sequence[str] | Column, how: str = "inner") -> DataFrame:
     """A join of two tables that grow with the corpus: both are exchanged and merged, none is broadcast.
 
     Spark takes a kept table for as large as its file. Columns that say the same of every document vanish in it: what it takes for
     4 MB, and would send through the driver, can be some hundred MB of rows.
     """
-    return left.join(right.hint("merge"), list(on), how)
+    return left.join(right.hint("merge"), on if isinstance(on, Column) else list(on), how)

@@ -30,3 +30,8 @@ def test_content_candidates_broadcasts_nothing(spark, sf_dir):
 @pytest.mark.parametrize("reading", [True, False])
 def test_ranking_broadcasts_nothing(found, reading):
     assert sent(candidates.ranked(found, KEY, reading)) == []
+
+
+@pytest.mark.parametrize("name", ["relational_nav_links", "relational_siblings", "relational_not_has"])
+def test_selectors_as_joins_broadcast_nothing(spark, sf_dir, name):
+    assert sent(registry.queries()[name](spark, sf_dir)) == []
